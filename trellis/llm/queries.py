@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import copies, frequent, leaks, mixing, seen, sketches
+from trellis.llm import copies, frequent, leaks, mixing, quality, seen, sketches
 from trellis.session import table
 
 FREQUENT_SHARE = 0.01
@@ -103,9 +103,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares.where("beyond_cap").select("source")
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where(~F.col("is_prose")).select("doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_shares, p9_found)
+    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_shares, p9_found, p10_statistics, p10_found)
 }
 
 _SEEN = """
