@@ -60,6 +60,8 @@ class Value:
             return F.lit(self.const.value)
         if self.raw is not None and self.raw.text:
             return F.col(self.raw.name)
+        if self.raw is not None and self.raw.template is not None and self.raw.prefix == '"':
+            return F.col(self.raw.name).cast("string")
         return T.value_of(self.column)
 
     def rank(self) -> Column:
@@ -67,6 +69,8 @@ class Value:
             return F.when(self.column.isNotNull(), 2)
         if self.const is not None:
             return F.lit(self.const.order_key[0])
+        if self.raw is not None and self.raw.template is not None:
+            return F.when(F.col(self.raw.name).isNotNull(), 2 if self.raw.prefix == '"' else 1)
         return T.kind_rank(self.column)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.queries import records
+from trellis.queries import graph, records
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = {**graph.QUERIES, **records.QUERIES}
+SQL = {**graph.SQL, **records.SQL}

@@ -1 +1 @@
-
+"""Patterns over triples that arrive: the compiled operators are ones that Structured Streaming supports."""
