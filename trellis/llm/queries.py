@@ -128,7 +128,17 @@ _GROUPED = f"""
   UNION ALL
   SELECT 'terms', id, min(id) OVER w, count(*) OVER w FROM terms WINDOW w AS (PARTITION BY kind, lang, dt, {_NORM('value')})"""
 
+_WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+_WINDOWS = lambda t, i: f"""(SELECT DISTINCT {i}, array_to_string(w[k : k + {LEAK_WORDS - 1}], ' ') AS g
+  FROM (SELECT {i}, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM (SELECT {i}, {_WORDS('text')} AS w FROM {t})))"""
+
 SQL = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_WINDOWS('documents', 'doc_id')} d JOIN {_WINDOWS('eval_items', 'item_id')} e ON d.g = e.g",
+    # sizes in characters: for these tables every usual unit puts the same sources beyond their caps
+    "p9_found": """
+      WITH sizes AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(length(d.text)), 0) AS n
+        FROM mix_targets m LEFT JOIN documents d ON d.source = m.source GROUP BY m.source, m.target_share, m.max_repeats)
+      SELECT source FROM sizes WHERE target_share * (SELECT sum(n) FROM sizes) > max_repeats * n""",
     "p5_answers": f"{_KNOWN} SELECT req_id, seen, CASE WHEN NOT seen THEN next_id END AS next_id FROM ({_SEEN})",
     "p5_found": f"{_KNOWN} SELECT req_id FROM ({_SEEN}) WHERE seen",
     "p6_found": """
