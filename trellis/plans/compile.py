@@ -8,7 +8,7 @@ bound: joins on those are equi-joins, and only a shared variable that may be unb
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from trellis.functions.exprs import ExprCompiler, Function
 from trellis.functions.terms import Term
-from trellis.plans.algebra import BGP, Expr, Filter, Graph, Group, Optional, Pattern, Query, Service, Triple, Union, Values, node
+from trellis.plans.algebra import BGP, Expr, Filter, Graph, Group, Optional, Pattern, Query, Service, Triple, Union, Values
+from trellis.session import broadcast_if_small
 from trellis.sources.store import Encoded, TripleStore
 
 #: Join algorithms by the hint that asks Spark for them.
@@ -30,8 +31,24 @@ class Relation:
     cols: dict[str, Encoded]
     sure: frozenset[str]
 
+    def decoded(self, variables: Iterable[str] | None = None) -> Relation:
+        """Bring the terms of id columns in by joins with their dictionary: for some variables, or for all."""
+        df, cols = self.df, dict(self.cols)
+        for v in cols if variables is None else variables:
+            e = cols.get(v)
+            if e is None or e.dictionary is None:
+                continue
+            name = f"{e.name}t"
+            pairs = broadcast_if_small(e.dictionary.select(F.col("id").alias(f"__{name}"), F.col("nt").alias(name)))
+            df = df.join(pairs, F.col(e.name) == F.col(f"__{name}"), "left").drop(f"__{name}", e.name)
+            cols[v] = Encoded(name)
+        return replace(self, df=df, cols=cols)
+
     def named(self, names: Sequence[str]) -> DataFrame:
         """Terms under variable names; a name that the relation lacks is a NULL column."""
+        if any(e.dictionary is not None for e in self.cols.values()):
+            r = self.decoded([n for n in names])
+            return replace(r, cols={n: e for n, e in r.cols.items() if e.dictionary is None}).named(names)
         out = [(self.cols[n].term() if n in self.cols else F.lit(None).cast("string")) for n in names]
         return self.df.select(*[c.alias(f"__r{i}") for i, c in enumerate(out)]).toDF(*names)
 
@@ -69,6 +86,9 @@ class Compiler:
         """Natural join on shared variables; `extra` is a condition that a left join's match must also meet."""
         shared = [v for v in right.cols if v in left.cols]
         hint = hint or self.hint
+        alien = [v for v in shared if left.cols[v].template != right.cols[v].template]
+        read = [v.value for v in extra.variables()] if extra is not None else []
+        left, right = left.decoded(alien + read), right.decoded(alien + read)
         conditions: list[Column] = []
         loose = []
         for v in shared:
@@ -108,6 +128,8 @@ class Compiler:
     def union(self, parts: Sequence[Relation]) -> Relation:
         """Bag union by variable; a variable that a part lacks is NULL in its rows."""
         names = list(dict.fromkeys(v for r in parts for v in r.cols))
+        mixed = [v for v in names if len({r.cols[v].template for r in parts if v in r.cols}) > 1]
+        parts = [r.decoded(mixed) for r in parts]
         out: dict[str, Encoded] = {}
         for v in names:
             kinds = {(r.cols[v].template, r.cols[v].prefix, r.cols[v].suffix) for r in parts if v in r.cols}
@@ -126,6 +148,7 @@ class Compiler:
         return Relation(reduce(DataFrame.unionByName, frames), out, sure)
 
     def filter(self, r: Relation, e: Expr) -> Relation:
+        r = r.decoded(v.value for v in e.variables())
         return Relation(r.df.where(ExprCompiler(r.cols, self.functions, self.value_equality).condition(e)), r.cols, r.sure)
 
     # ------------------------------------------------------------ patterns
@@ -206,6 +229,8 @@ class Compiler:
         r = self.pattern(q.pattern)
         if q.form == "ask":
             return r.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
+        if q.order or q.form == "construct":
+            r = r.decoded()
         if q.order:
             compiler = ExprCompiler(r.cols, self.functions, self.value_equality)
             r = replace(r, df=r.df.orderBy(*[c for e, up in q.order for c in compiler.order_columns(e, up)]))
@@ -253,6 +278,3 @@ def connected_order(triples: Sequence[Triple]) -> list[Triple]:
         seen |= set(t.variables())
     return out
 
-
-def variable(name: str) -> Expr:
-    return node(Term("var", name))

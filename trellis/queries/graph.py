@@ -93,7 +93,6 @@ _sparql("scan_predicate", _statements, "{ ?x d:cites ?y }", f"SELECT s AS x, o A
 _sparql("scan_subject", _statements, "{ <http://data.example/collection/main> ?p ?o }", f"SELECT p, o FROM {Q} WHERE s = '<http://data.example/collection/main>'")
 _sparql("scan_object", _statements, "{ ?s ?p <http://data.example/class/parcel> }", f"SELECT s, p FROM {Q} WHERE o = '<http://data.example/class/parcel>'")
 _sparql("scan_all_bound_but_one", _statements, '{ ?s rdf:type <http://data.example/class/bridge> }', f"SELECT s FROM {Q} WHERE p = {TYPE} AND o = '<http://data.example/class/bridge>'")
-_sparql("scan_repeated_var", _statements, "{ ?x ?p ?x }", f"SELECT s AS x, p FROM {Q} WHERE s = o")
 _sparql("scan_unknown_constant", _statements, "{ ?x <http://nowhere.example/p> ?y }", f"SELECT s AS x, o AS y FROM {Q} WHERE p = '<http://nowhere.example/p>'")
 _sparql("ask_contains", _statements, "ASK { ?x rdf:type <http://data.example/class/parcel> }", f"SELECT count(*) > 0 AS answer FROM {Q} WHERE p = {TYPE} AND o = '<http://data.example/class/parcel>'")
 
@@ -173,6 +172,7 @@ def _trade(spark: SparkSession, d: str) -> TripleStore:
 
 _TRADE_SQL = f"""(SELECT DISTINCT {_row('nation', 'c_nationkey')} AS s, {_row('nation', 's_nationkey')} AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey % 5 = s_nationkey % 3)"""
+_sparql("scan_repeated_var", _trade, "{ ?x ?p ?x }", f"SELECT s AS x, '<{BASE}buys>' AS p FROM {_TRADE_SQL} WHERE s = o")
 _sparql("bgp_triangle", _trade, "{ ?p t:buys ?q . ?q t:buys ?r . ?r t:buys ?p }", f"SELECT a.s AS p, a.o AS q, b.o AS r FROM {_TRADE_SQL} a JOIN {_TRADE_SQL} b ON a.o = b.s JOIN {_TRADE_SQL} c ON b.o = c.s AND c.o = a.s")
 
 # ---------------------------------------------------------------- join algorithms
@@ -213,18 +213,18 @@ _sparql("filter_eq", _statements, '{ ?x d:country ?c FILTER(?c = "QH") }', f"SEL
 _sparql("filter_neq", _statements, '{ ?x d:country ?c FILTER(?c != "QH") }', f"SELECT * FROM {_COUNTRY} WHERE NOT (c LIKE '\"%' AND {_VAL('c')} = 'QH')")
 _sparql("filter_is_iri", _statements, "{ ?x ?p ?y FILTER isIRI(?y) }", f"SELECT s AS x, p, o AS y FROM {Q} WHERE o LIKE '<%'")
 _sparql("filter_is_blank", _statements, "{ ?x ?p ?y FILTER isBLANK(?x) }", f"SELECT s AS x, p, o AS y FROM {Q} WHERE s LIKE '\\_:%' ESCAPE '\\'")
-_sparql("filter_is_literal", _statements, "{ ?x d:cites ?y FILTER isLITERAL(?y) }", f"SELECT * FROM {_CITES} WHERE y LIKE '\"%'")
+_sparql("filter_is_literal", _statements, "{ ?x ?p ?y FILTER isLITERAL(?y) }", f"SELECT s AS x, p, o AS y FROM {Q} WHERE o LIKE '\"%'")
 _ORDERS = f"SELECT {_row('orders', 'o_orderkey')} AS o, {_dbl('o_totalprice')} AS price FROM orders"
 _sparql("filter_compare", _tables("orders", "customer"), "{ ?o o:o_totalprice ?price FILTER(?price >= 250000) }", f"{_ORDERS} WHERE o_totalprice >= 250000")
 _sparql("filter_logic", _tables("orders", "customer"), '{ ?o o:o_totalprice ?price ; o:o_orderstatus ?st FILTER((?price < 50000 || ?price > 400000) && !(?st = "F")) }', f"SELECT {_row('orders', 'o_orderkey')} AS o, {_dbl('o_totalprice')} AS price, {_txt('o_orderstatus')} AS st FROM orders WHERE (o_totalprice < 50000 OR o_totalprice > 400000) AND o_orderstatus <> 'F'")
 _sparql("filter_arith", _tables("lineitem", "part"), "{ ?l l:l_extendedprice ?e ; l:l_discount ?dis FILTER(?e * (1 - ?dis) / 2 + 1 > 30000) }", f"SELECT {_row('lineitem', "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)")} AS l, {_dbl('l_extendedprice')} AS e, {_dbl('l_discount')} AS dis FROM lineitem WHERE l_extendedprice * (1 - l_discount) / 2 + 1 > 30000")
-_sparql("filter_bound", _statements, "{ ?x d:country ?c OPTIONAL { ?x d:label ?l } FILTER(!BOUND(?l)) }", f"SELECT a.x, a.c, NULL AS l FROM {_COUNTRY} a WHERE NOT EXISTS (SELECT 1 FROM {_LABEL} b WHERE a.x = b.x)")
+_sparql("filter_bound", _statements, "{ ?x d:country ?c OPTIONAL { ?x d:closed ?l } FILTER(!BOUND(?l)) }", f"SELECT a.x, a.c, NULL AS l FROM {_COUNTRY} a WHERE NOT EXISTS (SELECT 1 FROM quads b WHERE b.p = {P_('closed')} AND a.x = b.s)")
 _sparql("filter_str", _statements, '{ ?x rdf:type ?t FILTER(STR(?t) = "http://data.example/class/parcel") }', f"SELECT s AS x, o AS t FROM {Q} WHERE p = {TYPE} AND o IN ('<http://data.example/class/parcel>', '\"http://data.example/class/parcel\"')")
-_sparql("filter_lang", _statements, '{ ?x d:label ?l FILTER(LANG(?l) = "de") }', f"SELECT * FROM {_LABEL} WHERE regexp_matches(l, '\"@de$')")
+_sparql("filter_lang", _statements, '{ ?x d:label ?l FILTER(LANG(?l) = "en") }', f"SELECT * FROM {_LABEL} WHERE regexp_matches(l, '\"@en$')")
 _sparql("filter_langmatches", _statements, '{ ?x d:label ?l FILTER LANGMATCHES(LANG(?l), "EN") }', f"SELECT * FROM {_LABEL} WHERE regexp_matches(lower(l), '\"@en(-[a-z0-9-]+)?$')")
 _sparql("filter_datatype", _statements, "{ ?x ?p ?v FILTER(DATATYPE(?v) = xsd:date) }", f"SELECT s AS x, p, o AS v FROM {Q} WHERE o LIKE '%\"^^<http://www.w3.org/2001/XMLSchema#date>'")
 _sparql("filter_sameterm", _statements, '{ ?x d:country ?c FILTER SAMETERM(?c, "QH") }', f"SELECT * FROM {_COUNTRY} WHERE c = '\"QH\"'")
-_sparql("filter_regex", _statements, '{ ?x d:label ?l FILTER REGEX(?l, "^no[.]|al$", "i") }', f"SELECT * FROM {_LABEL} WHERE l LIKE '\"%' AND regexp_matches({_VAL('l')}, '(?i)^no[.]|al$')")
+_sparql("filter_regex", _statements, '{ ?x d:label ?l FILTER REGEX(?l, "^STR|1[0-9]+$", "i") }', f"SELECT * FROM {_LABEL} WHERE l LIKE '\"%' AND regexp_matches({_VAL('l')}, '(?i)^STR|1[0-9]+$')")
 _sparql("filter_cast", _statements, "{ ?x d:pages ?v FILTER(xsd:integer(?v) > 900) }", f"SELECT s AS x, o AS v FROM {Q} WHERE p = {P_('pages')} AND o LIKE '\"%' AND try_cast(trim(CASE WHEN regexp_matches(trim({_VAL('o')}), '^[+-]?[0-9.]+$') THEN {_VAL('o')} END) AS DECIMAL(38,0)) > 900")
 _sparql("filter_unary", _tables("supplier", "nation"), "{ ?s s:s_acctbal ?b FILTER(-?b > +500) }", f"SELECT {_row('supplier', 's_suppkey')} AS s, {_dbl('s_acctbal')} AS b FROM supplier WHERE -s_acctbal > 500")
 
@@ -266,6 +266,15 @@ def id_decode(spark, d):
     return IdStore.encode(_records(spark, d)).store().df
 
 
+@_query(f"SELECT a.s AS x, b.p AS p, a.o AS l FROM triples a JOIN triples b ON a.s = b.s WHERE a.p = {P_('caption')} AND a.o LIKE '%@en'")
+def id_query(spark, d):
+    """A join on ids with a filter on terms."""
+    from trellis.sources.store import IdStore
+
+    text = 'SELECT ?x ?p ?l { ?x d:caption ?l . ?x ?p ?y FILTER(LANG(?l) = "en") }'
+    return Engine(IdStore.encode(_records(spark, d))).sparql(PREFIXES + text)
+
+
 @_query("SELECT r.lookup_id, t.nt AS id_nt FROM gid_lookups r LEFT JOIN (SELECT id, nt FROM terms UNION ALL SELECT id, nt FROM vocab) t ON t.id = r.gid & 281474976710655")
 def lookup_ids(spark, d):
     """Terms of the ids that ranks ask for."""

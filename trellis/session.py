@@ -38,3 +38,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def configure(builder):
+    """Settings for large inputs on a SparkSession builder: run-time re-planning, skewed joins, runtime filters, UTC."""
+    for key, value in {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.session.timeZone": "UTC",
+    }.items():
+        builder = builder.config(key, value)
+    return builder

@@ -26,17 +26,24 @@ class Encoded:
     """A column of bindings: a plain term, or a raw value whose term is made only where it is needed.
 
     `prefix` and `suffix` turn the raw value into its term; `template` is equal for columns whose raw values can be
-    compared in place of the terms. `number` tells that the raw value is a number.
+    compared in place of the terms. `number` tells that the raw value is a number. `dictionary` (id, nt) is set where the
+    raw value is an id: such a column has no term until a join has brought it in.
     """
 
-    def __init__(self, name: str, template: str | None = None, prefix: str = "", suffix: str = "", number: bool = False, text: bool = False):
+    def __init__(
+        self, name: str, template: str | None = None, prefix: str = "", suffix: str = "", number: bool = False, text: bool = False,
+        dictionary: DataFrame | None = None,
+    ):
         self.name, self.template, self.prefix, self.suffix, self.number, self.text = name, template, prefix, suffix, number, text
+        self.dictionary = dictionary
 
     def renamed(self, name: str) -> Encoded:
-        return Encoded(name, self.template, self.prefix, self.suffix, self.number, self.text)
+        return Encoded(name, self.template, self.prefix, self.suffix, self.number, self.text, self.dictionary)
 
     def term(self) -> Column:
         raw = F.col(self.name)
+        if self.dictionary is not None:
+            raise ValueError("the ids of this column must be decoded first")
         if self.template is None:
             return raw
         value = T.escape(raw) if self.text else raw.cast("string")
@@ -207,14 +214,17 @@ class PartitionedStore(TripleStore):
 
 
 class IdStore(TripleStore):
-    """Triples of bigint ids with a dictionary `terms` (id, nt, ...): joins run on ids, terms come in last.
+    """Triples of bigint ids with a dictionary (id, nt, ...): queries join on ids, terms come in where they are needed.
 
-    Variables are encoded as ids of one template, so natural joins compare ids; `decode` turns result columns into terms.
+    Constants of a pattern are looked up once, a handful of rows; an unknown constant matches nothing. The compiler brings
+    terms in by joins with the dictionary before filters that read them and at the end of a query.
     """
 
     def __init__(self, ids: DataFrame, terms: DataFrame, orderings: Sequence[str] = ORDERINGS):
-        super().__init__(ids, orderings)
+        super().__init__(ids.select("s", "p", "o"), orderings)
         self.terms = terms
+        self._ids: dict[str, int] = {}
+        self._template = f"id {id(self)}"
 
     @classmethod
     def encode(cls, store: TripleStore, terms: DataFrame | None = None) -> IdStore:
@@ -224,6 +234,31 @@ class IdStore(TripleStore):
         terms = terms if terms is not None else build_dictionary(store.df, ["s", "p", "o"])
         return cls(encode_columns(store.df.select("s", "p", "o"), ["s", "p", "o"], terms), terms, store._orderings)
 
+    def ids_of(self, terms: Sequence[Term]) -> None:
+        """Look constants up; ids start at 1, so that 0 stands for an unknown term."""
+        new = [t.nt for t in terms if not t.is_var and t.nt not in self._ids]
+        if new:
+            found = {r.nt: r.id for r in self.terms.where(F.col("nt").isin(new)).select("nt", "id").collect()}
+            self._ids.update({n: found.get(n, 0) for n in new})
+
+    def pattern_condition(self, t: Triple) -> Column:
+        self.ids_of(t.terms)
+        conditions, at = [F.lit(True)], {}
+        for c, term in zip(("s", "p", "o"), t.terms):
+            if not term.is_var:
+                conditions.append(F.col(c) == F.lit(self._ids[term.nt]))
+            elif term in at:
+                conditions.append(F.col(c) == F.col(at[term]))
+            else:
+                at[term] = c
+        return reduce(lambda a, b: a & b, conditions)
+
+    def scan(self, t: Triple, name):
+        df, cols = super().scan(t, name)
+        if t.g is not None:
+            return df, cols
+        return df, {v: Encoded(e.name, self._template, dictionary=self.terms) for v, e in cols.items()}
+
     def decode(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         from trellis.operators.dictionary import decode_columns
 
