@@ -72,7 +72,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def reduce_by(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of left that some row of right can join: a semi-join on the shared variables, for use before a costly join."""
     shared = shared_variables(left, right)
-    return left.join(right.select(*shared).distinct(), shared, "left_semi") if shared else left
+    return left.join(right.select(*shared).distinct(), shared, "left_semi").select(*left.columns) if shared else left
 
 
 def spread(df: DataFrame, names: Sequence[str], partitions: int | None = None) -> DataFrame:
