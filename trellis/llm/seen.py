@@ -21,6 +21,8 @@ from trellis.session import cut_lineage, parallelism
 FPP = 0.001
 KEYS_PER_PARTITION = 1_000_000
 PROBES_PER_PARTITION = 20_000
+#: Repeated keys that a task remembers while it pre-aggregates.
+REMEMBERED = 1 << 16
 # Odd multipliers of the split-block filter published with the Parquet format.
 SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint32)
 
@@ -66,13 +68,27 @@ def _absent(part: int, n: int) -> np.ndarray:
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregation: of each key in a batch only the row with the least position needs its filter; the rest follow it."""
+    """Pre-aggregation: of each key in a batch only the row with the least position needs its filter; the rest follow it.
+
+    Keys that repeat within a batch are remembered, up to a fixed number, with the least position that led so far: they
+    lead again only with a smaller one. So a key with a third of all rows leads about once per task.
+    """
+    memory: dict[int, int] = {}
     for b in batches:
         h, at = b.column("h").to_numpy(), b.column("at").to_numpy()
-        order = np.lexsort((at, h))
         lead = np.zeros(len(h), dtype=bool)
         if len(h):
-            lead[order[np.concatenate(([True], h[order][1:] != h[order][:-1]))]] = True
+            order = np.lexsort((at, h))
+            new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+            first = order[new]
+            sizes = np.diff(np.append(np.flatnonzero(new), len(h)))
+            lead[first] = True
+            for i in first[sizes > 1]:
+                key, place = int(h[i]), int(at[i])
+                if memory.get(key, place + 1) <= place:
+                    lead[i] = False
+                elif key in memory or len(memory) < REMEMBERED:
+                    memory[key] = place
         yield b.append_column("lead", pa.array(lead))
 
 
@@ -84,8 +100,8 @@ def bloom_verdicts(requests: DataFrame, at: str, key: str, earlier: DataFrame, f
     seen. `earlier` is a one-column table of keys that came before all requests; requests come in the order of `at`,
     which must be unique. Requests with a NULL key or position are left out: they name no key.
 
-    A hot key is pre-aggregated per batch before the shuffle: rows that follow another of the same key in their batch
-    are spread by position instead of by key.
+    A hot key is pre-aggregated before the shuffle: rows that follow another of the same key in their task are spread by
+    position instead of by key.
     """
     spark = requests.sparkSession
     reqs = requests.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(F.col(at).cast("bigint").alias("at"), F.col(key).alias("key"), F.xxhash64(key).alias("h"))
