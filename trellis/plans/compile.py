@@ -25,6 +25,32 @@ from trellis.sources.store import Encoded, TripleStore
 HINTS = {"merge": "merge", "hash": "shuffle_hash", "nestedloop": "shuffle_replicate_nl", "broadcast": "broadcast"}
 
 
+#: Joins with up to so many shared variables that may be unbound are split by which of them are bound.
+SPLIT_LOOSE = 2
+
+
+def _joined(left: DataFrame, right: DataFrame, conditions: Sequence[Column], how: str) -> DataFrame:
+    if conditions:
+        return left.join(right, reduce(lambda a, b: a & b, conditions), how)
+    return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+
+
+def _comparable(a: Encoded, b: Encoded) -> bool:
+    """Whether equal raw values mean equal terms, and different ones different terms."""
+    return a.template is not None and a.template == b.template and not a.template.startswith("raw ")
+
+
+class _Either(Encoded):
+    """Reads as the bound one of two columns."""
+
+    def __init__(self, a: Encoded, b: Encoded):
+        super().__init__(a.name)
+        self.a, self.b = a, b
+
+    def term(self) -> Column:
+        return F.coalesce(self.a.term(), self.b.term())
+
+
 @dataclass
 class Relation:
     df: DataFrame
@@ -89,41 +115,74 @@ class Compiler:
         alien = [v for v in shared if left.cols[v].template != right.cols[v].template]
         read = [v.value for v in extra.variables()] if extra is not None else []
         left, right = left.decoded(alien + read), right.decoded(alien + read)
-        conditions: list[Column] = []
-        loose = []
-        for v in shared:
+        loose = [v for v in shared if v not in left.sure or v not in right.sure]
+        same = {v: _comparable(left.cols[v], right.cols[v]) for v in shared}
+
+        def equal(v: str) -> Column:
             a, b = left.cols[v], right.cols[v]
-            same = a.template is not None and a.template == b.template and not a.template.startswith("raw ")
-            equal = F.col(a.name) == F.col(b.name) if same else a.term() == b.term()
-            if v in left.sure and v in right.sure:
-                conditions.append(equal)
-            else:
-                conditions.append(equal | F.col(a.name).isNull() | F.col(b.name).isNull())
-                loose.append((v, same))
-        cols = dict(left.cols)
-        cols.update({v: e for v, e in right.cols.items() if v not in cols})
+            return F.col(a.name) == F.col(b.name) if same[v] else a.term() == b.term()
+
+        keys = [equal(v) for v in shared if v not in loose]
+        cols = {**left.cols, **{v: e for v, e in right.cols.items() if v not in left.cols}}
+        match = None
         if extra is not None:
-            merged = dict(cols)
-            compiler = ExprCompiler({k: e for k, e in merged.items()}, self.functions, self.value_equality)
-            for v, _ in loose:
-                # within a match a loosely shared variable has whichever value is bound
-                compiler.env = {**compiler.env, v: right.cols[v]} if v not in left.sure else compiler.env
-            conditions.append(F.coalesce(compiler.condition(extra), F.lit(False)))
+            # within a match a loosely shared variable has whichever value is bound
+            env = {**cols, **{v: self._either(left.cols[v], right.cols[v], same[v]) for v in loose}}
+            match = F.coalesce(ExprCompiler(env, self.functions, self.value_equality).condition(extra), F.lit(False))
         right_df = right.df.hint(HINTS[hint]) if hint else right.df
-        if conditions:
-            df = left.df.join(right_df, reduce(lambda a, b: a & b, conditions), how)
+        if not loose:
+            df = _joined(left.df, right_df, keys + ([match] if match is not None else []), how)
+        elif len(loose) <= SPLIT_LOOSE:
+            df = self._split_join(left, right, loose, keys, equal, match, how)
         else:
-            df = left.df.crossJoin(right_df) if how == "inner" else left.df.join(right_df, F.lit(True), how)
-        for v, same in loose:
-            a, b = left.cols[v], right.cols[v]
+            open_ = [equal(v) | F.col(left.cols[v].name).isNull() | F.col(right.cols[v].name).isNull() for v in loose]
+            df = _joined(left.df, right_df, keys + open_ + ([match] if match is not None else []), how)
+        for v in loose:
             name = self.fresh()
-            both = F.coalesce(F.col(a.name), F.col(b.name)) if same else F.coalesce(a.term(), b.term())
-            df = df.withColumn(name, both)
-            cols[v] = a.renamed(name) if same else Encoded(name)
-        kept = [e.name for e in cols.values()]
-        df = df.select(*(kept or [F.lit(1).alias(self.fresh())]))
-        sure = left.sure | right.sure if how == "inner" else left.sure
-        return Relation(df, cols, sure)
+            df = df.withColumn(name, self._either(left.cols[v], right.cols[v], same[v], raw=True))
+            cols[v] = left.cols[v].renamed(name) if same[v] else Encoded(name)
+        df = df.select(*([e.name for e in cols.values()] or [F.lit(1).alias(self.fresh())]))
+        return Relation(df, cols, left.sure | right.sure if how == "inner" else left.sure)
+
+    @staticmethod
+    def _either(a: Encoded, b: Encoded, same: bool, raw: bool = False):
+        """Whichever of two columns is bound: as a Column, or as something an expression can read."""
+        if raw:
+            return F.coalesce(F.col(a.name), F.col(b.name)) if same else F.coalesce(a.term(), b.term())
+        return _Either(a, b)
+
+    def _split_join(self, left: Relation, right: Relation, loose: Sequence[str], keys, equal, match, how: str) -> DataFrame:
+        """Join with variables that may be unbound, without comparing every pair of rows.
+
+        Rows are told apart by which of these variables they bind. Two such classes join on the variables that both bind,
+        an equi-join; only classes without a common bound variable are a product, and every row of that is a result. A left
+        join adds the left rows that no class of the right matches.
+        """
+        classes = list(itertools.product((True, False), repeat=len(loose)))
+
+        def part(r: Relation, bound) -> DataFrame:
+            tests = [F.col(r.cols[v].name).isNotNull() if b else F.col(r.cols[v].name).isNull() for v, b in zip(loose, bound) if v not in r.sure]
+            return r.df.where(reduce(lambda a, b: a & b, tests)) if tests else r.df
+
+        def possible(r: Relation):
+            return [c for c in classes if all(b or v not in r.sure for v, b in zip(loose, c))]
+
+        def conditions(a, b):
+            return keys + [equal(v) for v, x, y in zip(loose, a, b) if x and y] + ([match] if match is not None else [])
+
+        frames = []
+        for a in possible(left):
+            own = part(left, a)
+            alone = own
+            for b in possible(right):
+                other, on = part(right, b), conditions(a, b)
+                frames.append(_joined(own, other, on, "inner"))
+                if how == "left":
+                    alone = alone.join(other, reduce(lambda x, y: x & y, on), "left_anti") if on else alone.join(other.limit(1), F.lit(True), "left_anti")
+            if how == "left":
+                missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.df.schema.fields]
+                frames.append(alone.select("*", *missing))
+        return reduce(DataFrame.unionByName, frames)
 
     def union(self, parts: Sequence[Relation]) -> Relation:
         """Bag union by variable; a variable that a part lacks is NULL in its rows."""
