@@ -52,19 +52,27 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("failures", F.array_join(F.array_sort(pairs), ", "))
 
 
+def p3_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The filled cells of the wide table, one row each, with their typed values as text."""
+    attrs = wide.attributes(table(spark, d, "vocab"))
+    out = wide.widen(table(spark, d, "quads"), attrs)
+    cells = F.array(*[F.struct(F.lit(a.predicate).alias("p"), F.col(a.column).cast("string").alias("value")) for a in attrs])
+    return out.select("s", F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c")).select("s", "c.p", "c.value")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Cells of the wide table that stay empty although rows for them exist."""
     out = wide.widen(table(spark, d, "quads"), wide.attributes(table(spark, d, "vocab")))
     return out.select("s", F.explode("failures").alias("p", "why")).where(F.col("why") != "out_of_range").select("s", "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_lines, p1_statements, p1_rejects, p1_found, p2_predicates, p2_gids, p2_found, p3_wide, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_lines, p1_statements, p1_rejects, p1_found, p2_predicates, p2_gids, p2_found, p3_wide, p3_cells, p3_found)}
 
 _RE = lambda x: "'" + x.replace("'", "''") + "'"
 
 
 def _valid_line_sql() -> str:
-    """Rows (line_id, ok): whether a line of ntriple_lines is valid, in the words of RE2."""
+    """Rows (line_id, file_name, ntriple, obj, stated, ok): whether a line of ntriple_lines is valid, in the words of RE2."""
     mask = f"regexp_replace(ntriple, {_RE(ntriples.ECHAR)}, chr(1) || chr(1), 'g')"
     mask = f"regexp_replace({mask}, {_RE(ntriples.UCHAR4)}, 'uuuuuu', 'g')"
     mask = f"regexp_replace({mask}, {_RE(ntriples.UCHAR8)}, 'uuuuuuuuuu', 'g')"
@@ -78,7 +86,8 @@ def _valid_line_sql() -> str:
             fits += " AND try_cast(regexp_extract(txt, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS DATE) IS NOT NULL"
         rules.append(f"WHEN dt = 'http://www.w3.org/2001/XMLSchema#{name}' THEN {fits}")
     return f"""
-    SELECT line_id,
+    SELECT line_id, file_name, ntriple, obj, coalesce(regexp_matches(masked, {_RE(ntriples.STATEMENT)}), false) AS stated,
+      length(regexp_extract(masked, {_RE('(' + ntriples.PREFIX + ')')}, 1)) AS lead,
       coalesce(regexp_matches(ntriple, {_RE(ntriples.NOTHING)}), false) OR
       (coalesce(regexp_matches(masked, {_RE(ntriples.STATEMENT)}), false) AND NOT regexp_matches(obj, {_RE(ntriples.BAD_LANG)})
         AND CASE {' '.join(rules)} ELSE true END) AS ok
@@ -102,11 +111,14 @@ _CANON = f"""
 
 SQL = {
     "p1_found": f"SELECT line_id FROM ({_valid_line_sql()}) WHERE NOT ok",
+    "p1_statements": f"""SELECT line_id, file_name, regexp_extract(ntriple, '^[ \t]*([^ \t]+)', 1) AS s, regexp_extract(ntriple, '^[ \t]*[^ \t]+[ \t]+([^ \t]+)', 1) AS p,
+      substr(ntriple, lead + 1, length(obj)) AS o FROM ({_valid_line_sql()}) WHERE ok AND stated""",
     "p2_predicates": "SELECT p, count(*) AS n_rows, count(DISTINCT s) AS n_distinct FROM quads GROUP BY p",
     "p2_gids": "SELECT gid, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS sum_n_bytes, count(n_bytes) AS nonnull_n_bytes FROM gid_lookups GROUP BY gid",
     "p2_found": """
       SELECT 'p' AS fld, p AS item FROM quads GROUP BY p HAVING count(*) >= 0.05 * (SELECT count(*) FROM quads)
       UNION ALL
       SELECT 'gid', CAST(gid AS VARCHAR) FROM gid_lookups GROUP BY gid HAVING count(*) >= 0.05 * (SELECT count(*) FROM gid_lookups)""",
+    "p3_cells": f"SELECT s, p, min(v) AS value FROM ({_CANON}) GROUP BY s, p HAVING count(DISTINCT v) = 1",
     "p3_found": f"SELECT s, p FROM ({_CANON}) GROUP BY s, p HAVING count(DISTINCT v) <> 1",
 }
