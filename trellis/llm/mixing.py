@@ -102,34 +102,36 @@ def mix(documents: DataFrame, doc_id: str, source: str, text: str, targets: Data
     """Plan a mix of the documents whose source is in `targets` (source, target_share, max_repeats).
 
     Rows of other or NULL sources are no part of it. A target whose source has no documents stays empty. doc_id must be
-    unique. Shares report, per source: its size, whether its share of the whole lies beyond its cap, tokens drawn and
+    unique, and so must the sources of the targets. Shares report, per source: its size, whether its share of the whole lies beyond its cap, tokens drawn and
     the share that they reach. The number of targets must be at most MAX_SHARDS.
     """
     goals = targets.select(F.col("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).orderBy("source").limit(MAX_SHARDS + 1).collect()
     if len(goals) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} target sources")
+    spark = documents.sparkSession
     names = [g.source for g in goals]
-    inside = documents.where(F.col(source).isin(names)) if names else documents.where(F.lit(False))
-    counted = cut_lineage(token_counts(inside, text, {"doc_id": doc_id, "source": source}, path))
+    wanted = F.broadcast(spark.createDataFrame([(n,) for n in names], "source string"))  # at most MAX_SHARDS names
+    inside = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).join(wanted, "source", "left_semi")
+    counted = cut_lineage(token_counts(inside, "text", {"doc_id": "doc_id", "source": "source"}, path))
     sizes = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     total = sum(sizes.values())
     per_shard = max(shard_tokens, -(-total // MAX_SHARDS))
-    shards = F.lit(1)
-    for name, n in sizes.items():
-        shards = F.when(F.col("source") == name, F.lit(max(1, round(n / per_shard)))).otherwise(shards)
+    n_shards = spark.createDataFrame([(s, max(1, round(n / per_shard))) for s, n in sizes.items()], "source string, shards int")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = counted.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), shards).cast("int"))
+    placed = counted.join(F.broadcast(n_shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")).drop("shards")
     sums = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).orderBy("source", "shard").collect()
-    blocks = {(r.source, r.shard): max(1, round(r.n / block_tokens)) for r in sums if r.n}
-    of = {name: sum(b for (s, _), b in blocks.items() if s == name) for name in names}
+    blocks: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
+    for r in sums:
+        if r.n:
+            blocks[r.source].append((r.shard, max(1, round(r.n / block_tokens))))
+    of = {name: sum(b for _, b in own) for name, own in blocks.items()}
     weights = [Fraction(g.target_share or 0).limit_denominator(10**9) for g in goals]
     quotas = sainte_lague(weights, sum(of.values()), [(g.max_repeats or 0) * of[g.source] for g in goals])
     plan = []
     for g, quota in zip(goals, quotas):
-        mine = [(k, b) for k, b in blocks.items() if k[0] == g.source]
-        for (k, b), q in zip(mine, sainte_lague([Fraction(b) for _, b in mine], quota, [g.max_repeats * b for _, b in mine])):
-            plan.append((*k, int(b), int(q)))
-    spark = documents.sparkSession
+        own = blocks[g.source]
+        for (k, b), q in zip(own, sainte_lague([Fraction(b) for _, b in own], quota, [(g.max_repeats or 0) * b for _, b in own])):
+            plan.append((g.source, k, int(b), int(q)))
     planned = spark.createDataFrame(plan, "source string, shard int, blocks int, quota int")
     shard_sums = spark.createDataFrame([(r.source, r.shard, int(r.n)) for r in sums], "source string, shard int, shard_tokens bigint")
     known = F.broadcast(planned.join(shard_sums, ["source", "shard"]))  # one row per shard, at most MAX_SHARDS and the targets

@@ -107,13 +107,18 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
 
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts among the statistics."""
+    return p10_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_lines")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where(~F.col("is_prose")).select("doc_id")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_shares, p9_found, p10_statistics, p10_found)
+    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_shares, p9_found, p10_statistics, p10_counts, p10_found)
 }
 
 _SEEN = """
@@ -133,6 +138,8 @@ _WINDOWS = lambda t, i: f"""(SELECT DISTINCT {i}, array_to_string(w[k : k + {LEA
   FROM (SELECT {i}, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM (SELECT {i}, {_WORDS('text')} AS w FROM {t})))"""
 
 SQL = {
+    "p10_counts": f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS('text')}) AS n_words,
+      len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_WINDOWS('documents', 'doc_id')} d JOIN {_WINDOWS('eval_items', 'item_id')} e ON d.g = e.g",
     # sizes in characters: for these tables every usual unit puts the same sources beyond their caps
     "p9_found": """
