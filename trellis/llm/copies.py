@@ -17,18 +17,30 @@ SPLIT = "[;|]"
 NO_WORD = "[^\\p{L}\\p{N}]+"
 
 
+def _words(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(text), NO_WORD, " "))
+
+
 def fields(text: Column) -> Column:
-    """The fields of a text as normalized strings, in their order; NULL for NULL."""
-    cut = F.transform(F.split(text, SPLIT), lambda f: F.btrim(F.regexp_replace(F.lower(f), NO_WORD, " ")))
-    return F.filter(cut, lambda f: f != "")
+    """The fields of a text as normalized strings, in their order; NULL for NULL.
+
+    A text without separators is one field and is spared the higher-order functions.
+    """
+    several = F.filter(F.transform(F.split(text, SPLIT), _words), lambda f: f != "")
+    single = (F.instr(text, ";") == 0) & (F.instr(text, "|") == 0)
+    return F.when(single, F.array_remove(F.array(_words(text)), "")).otherwise(several)
 
 
 def _sums(name: str, items: Column, seed: int) -> list[Column]:
     """Order-free hash of a multiset of fields: its size and the sums of the halves of their hashes (no overflow)."""
-    hashes = F.transform(items, lambda f: F.xxhash64(F.lit(seed), F.lit(name), f))
-    low = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + h.bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + F.shiftrightunsigned(h, 32))
-    return [F.coalesce(F.size(items), F.lit(-1)), F.coalesce(low, F.lit(-1)), F.coalesce(high, F.lit(-1))]
+    of = lambda f: F.xxhash64(F.lit(seed), F.lit(name), f)
+
+    def total(half) -> Column:
+        several = F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, f: acc + half(of(f)))
+        return F.when(F.size(items) == 1, half(of(F.get(items, F.lit(0))))).otherwise(F.coalesce(several, F.lit(-1)))
+
+    low, high = total(lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), total(lambda h: F.shiftrightunsigned(h, 32))
+    return [F.coalesce(F.size(items), F.lit(-1)), low, high]
 
 
 def fingerprints(df: DataFrame, ident: str, exact: list[str], loose: list[str]) -> DataFrame:
