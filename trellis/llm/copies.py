@@ -82,7 +82,7 @@ def copies(df: DataFrame, ident: str, exact: list[str], loose: list[str]) -> Dat
     hot = groups.where(F.col("n") > share).select("f1", "f2", F.ceil(F.col("n") / share).cast("int").alias("salts"))
     salted = base.join(F.broadcast(hot), ["f1", "f2"], "left").withColumn("salt", F.coalesce(F.expr("cast(pmod(xxhash64(id), salts) as int)"), F.lit(0)))
     keep = groups.select("f1", "f2", "keep_id", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / share).cast("int"), F.lit(1)) - 1)).alias("salt"))
-    members = salted.join(keep, ["f1", "f2", "salt"])
+    members = cut_lineage(salted.join(keep, ["f1", "f2", "salt"]))  # rows of groups only, read twice below
     kept = members.where(F.col("id") == F.col("keep_id")).select("keep_id", F.col("exact").alias("keep_exact"), F.col("loose").alias("keep_loose"))
     spread = keep.join(kept, "keep_id").select("f1", "f2", "salt", "keep_exact", "keep_loose")
     same = F.lit(True)
