@@ -114,7 +114,7 @@ def test_frequent_values_among_many_rare_ones(spark):
     df = spark.createDataFrame([(x, 1.0) for x in data], "v string, approx double").repartition(5)
     counts = Counter(x for x in data if x is not None)
     for share in (0.01, 0.05):
-        got = {r.value: r for r in frequent.frequent_values(df, "v", share).collect()}
+        got = {r.value: r for r in frequent.frequent_values(df.withColumn("w", F.lit("same")), ["v", "w"], share).where("fld = 'v'").collect()}
         assert set(got) == {k for k, n in counts.items() if n >= share * len(data)}
         for k, r in got.items():
             assert r.n_rows == counts[k] and abs(r.approx - r.n_rows) <= 6 * r.std_error + 1
@@ -122,19 +122,19 @@ def test_frequent_values_among_many_rare_ones(spark):
 
 def test_frequent_ties_at_the_threshold_and_empty(spark):
     df = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d"] * 25], "v string")
-    assert {r.value for r in frequent.frequent_values(df, "v", 0.25).collect()} == {"a", "b", "c", "d"}
-    assert frequent.frequent_values(df, "v", 0.26).count() == 0
-    assert frequent.frequent_values(df.where("false"), "v", 0.1).count() == 0
-    assert frequent.frequent_values(df.select(F.lit(None).cast("string").alias("v")), "v", 0.1).count() == 0
+    assert {r.value for r in frequent.frequent_values(df, ["v"], 0.25).collect()} == {"a", "b", "c", "d"}
+    assert frequent.frequent_values(df, ["v"], 0.26).count() == 0
+    assert frequent.frequent_values(df.where("false"), ["v"], 0.1).count() == 0
+    assert frequent.frequent_values(df.select(F.lit(None).cast("string").alias("v")), ["v"], 0.1).count() == 0
 
 
 def test_sketches_of_parts_add(spark):
     df = spark.range(30_000).select((F.col("id") % 777).cast("string").alias("v"))
     shape = frequent.Shape.for_share(0.01)
-    whole = {r.cell: r.n for r in frequent.sketch_counters(df, "v", shape).collect()}
+    whole = {r.cell: r.n for r in frequent.sketch_counters(df, ["v"], shape).collect()}
     parts = Counter()
     for k in range(3):
-        parts.update({r.cell: r.n for r in frequent.sketch_counters(df.where(f"v % 3 = {k}"), "v", shape).collect()})
+        parts.update({r.cell: r.n for r in frequent.sketch_counters(df.where(f"v % 3 = {k}"), ["v"], shape).collect()})
     assert {c: n for c, n in parts.items() if n} == {c: n for c, n in whole.items() if n}
 
 

@@ -10,7 +10,7 @@ candidate hashes. A second scan counts the values behind them exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,44 +105,62 @@ class Shape:
         return kept, got, error
 
 
-def sketch_counters(df: DataFrame, column: str, shape: Shape) -> DataFrame:
-    """(cell, n): nonzero counters of the sketch of a column; partial sketches add by the same sum. NULLs are not counted."""
-    hashes = df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+def sketch_counters(df: DataFrame, columns: Sequence[str], shape: Shape) -> DataFrame:
+    """(cell, n): nonzero counters of the sketches of the columns, one after the other, in one scan; cell -1 counts rows.
+
+    Partial sketches add by the same sum. NULLs are not counted.
+    """
+    hashes = df.select(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(columns)])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, held, n = np.zeros(shape.total, dtype=np.int64), [], 0
+        counters = np.zeros((len(columns), shape.total), dtype=np.int64)
+        held: list[list[np.ndarray]] = [[] for _ in columns]
+        rows = waiting = 0
+
+        def spend() -> None:
+            for i, parts in enumerate(held):
+                if parts:
+                    shape.add(counters[i], np.concatenate(parts))
+                    parts.clear()
+
         for b in batches:
-            held.append(b.column(0).to_numpy().view(np.uint64))
-            n += len(held[-1])
-            if n >= 1 << 18:
-                shape.add(counters, np.concatenate(held))
-                held, n = [], 0
-        if held:
-            shape.add(counters, np.concatenate(held))
-        at = np.flatnonzero(counters)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counters[at])], names=["cell", "n"])
+            for i in range(len(columns)):
+                held[i].append(b.column(i).drop_null().to_numpy().view(np.uint64))
+            rows += b.num_rows
+            waiting += b.num_rows
+            if waiting >= 1 << 18:
+                spend()
+                waiting = 0
+        spend()
+        flat = counters.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(flat[at], rows))], names=["cell", "n"])
 
     return hashes.mapInArrow(fold, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def frequent_values(df: DataFrame, column: str, share: float, shape: Shape | None = None) -> DataFrame:
-    """(value, approx, std_error, n_rows) of the values with at least `share` of all rows of df, NULL not being a value.
+def frequent_values(df: DataFrame, columns: Sequence[str], share: float, shape: Shape | None = None) -> DataFrame:
+    """(fld, value, approx, std_error, n_rows): values of each column with at least `share` of all rows of df; NULL is no value.
 
-    approx and std_error are what the sketch says, n_rows is the exact count of the second scan. The driver holds the
-    counters, whose number depends on `share` alone, and at most a few candidates per 1/share. A value at the threshold
-    is missed only if its estimate falls four standard errors short at some level. Empty tables give no row.
+    approx and std_error are what the sketch says, n_rows is the exact count of the second scan. Columns must be strings.
+    The driver holds the counters, whose number depends on `share` and the number of columns alone, and at most a few
+    candidates per 1/share. A value at the threshold is missed only if its estimate falls four standard errors short at
+    some level. Empty tables give no row.
     """
     shape = shape or Shape.for_share(share)
     spark = df.sparkSession
-    got = sketch_counters(df, column, shape).toArrow()
-    counters = np.zeros(shape.total, dtype=np.int64)
-    counters[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    n_rows = df.count()
-    leaves, estimates, error = shape.descend(counters, max(1.0, share * n_rows))
-    schema = "leaf bigint, approx double"
-    found = spark.createDataFrame([(int(x), float(e)) for x, e in zip(leaves, estimates)], schema)
-    leaf = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - shape.levels[-1])
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), leaf.alias("leaf"))
-    counted = values.join(F.broadcast(found), "leaf").groupBy("value", "approx").agg(F.count(F.lit(1)).alias("n_rows"))
-    least = math.ceil(share * n_rows - 1e-9)
-    return counted.where(F.col("n_rows") >= least).select("value", "approx", F.lit(float(error)).alias("std_error"), "n_rows")
+    got = sketch_counters(df, columns, shape).toArrow()
+    cells, counts = got.column("cell").to_numpy(), got.column("n").to_numpy()
+    n_rows = int(counts[cells == -1].sum())
+    flat = np.zeros(len(columns) * shape.total, dtype=np.int64)
+    flat[cells[cells >= 0]] = counts[cells >= 0]
+    found = []
+    for name, counters in zip(columns, flat.reshape(len(columns), shape.total)):
+        leaves, estimates, error = shape.descend(counters, max(1.0, share * n_rows))
+        found += [(name, int(x), float(e), float(error)) for x, e in zip(leaves, estimates)]
+    candidates = spark.createDataFrame(found, "fld string, leaf bigint, approx double, std_error double")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("value")) for c in columns]))
+    values = df.select(each.alias("x")).select("x.fld", "x.value").where(F.col("value").isNotNull())
+    values = values.withColumn("leaf", F.shiftrightunsigned(F.xxhash64("value"), 64 - shape.levels[-1]))
+    counted = values.join(F.broadcast(candidates), ["fld", "leaf"]).groupBy("fld", "value", "approx", "std_error").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.where(F.col("n_rows") >= math.ceil(share * n_rows - 1e-9))

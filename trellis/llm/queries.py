@@ -53,9 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent objects and predicates with the sketch's count, its standard error and the verified count."""
-    quads = table(spark, d, "quads")
-    parts = [frequent.frequent_values(quads, c, FREQUENT_SHARE).select(F.lit(c).alias("fld"), F.col("value").alias("item"), "approx", "std_error", "n_rows") for c in ("o", "p")]
-    return parts[0].unionByName(parts[1])
+    return frequent.frequent_values(table(spark, d, "quads"), ["o", "p"], FREQUENT_SHARE).withColumnRenamed("value", "item")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
