@@ -68,8 +68,7 @@ def pieces(text: str) -> Iterator[str]:
     """Entries, cells and joined-up sentences of a text, in order."""
     lines = [x.strip() for x in text.splitlines()]
     full = [x for x in lines if x]
-    letters = sum(ch.isalpha() for ch in text)
-    shouted = letters and sum(ch.isupper() for ch in text) > 0.6 * letters
+    shouted = sum(map(str.isupper, text)) > 0.6 * max(1, sum(map(str.isalpha, text)))
     separate = _pairs(full)
     columns = sum(len(re.findall(r"[ \u00a0]{3,}", x)) > 0 for x in full) >= 0.5 * len(full)
     held: list[str] = []
@@ -117,14 +116,19 @@ def is_sentence(piece: str, words: list[str], common: frozenset[str]) -> bool:
     n = len(words)
     if sum(not w.isdigit() for w in words) < SENTENCE_WORDS or _listed(piece):
         return False
-    tokens = [t for t in piece.split() if any(ch.isalnum() for ch in t)]
-    clean = sum(bool(CLEAN.match(t)) for t in tokens)
-    numbers = sum(bool(NUMBER.match(t)) for t in tokens)
-    if clean < 0.7 * (len(tokens) - numbers) or numbers > 0.4 * len(tokens):
+    clean = numbers = other = 0
+    for t in piece.split():
+        if t.isalpha() or CLEAN.match(t):
+            clean += 1
+        elif NUMBER.match(t):
+            numbers += 1
+        elif WORD.search(t):
+            other += 1
+    if clean < 0.7 * (clean + other) or numbers > 0.4 * (clean + numbers + other):
         return False
-    if sum(len(w) == 1 for w in words) > 0.5 * n:
+    if len([w for w in words if len(w) == 1]) > 0.5 * n:
         return False
-    share = sum(w in common for w in words) / n
+    share = len([w for w in words if w in common]) / n
     punctuated = piece[:1].isupper() and _ends(piece) in STOP
     if share > 0.9 and n >= (20 if punctuated else 8):
         return False
@@ -140,11 +144,12 @@ def _share(n: float, of: float) -> float:
 def statistics(text: str | None, common: frozenset[str]) -> tuple:
     """The values of COLUMNS for one text; a NULL text has the same statistics as an empty one."""
     text = text or ""
-    words = WORD.findall(text.lower())
+    words = WORD.findall(text)
     n = len(words)
     length = sum(map(len, words))
-    visible = sum(not ch.isspace() for ch in text)
-    symbols = sum(not (ch.isalnum() or ch.isspace()) for ch in text)
+    visible = sum(map(len, text.split()))
+    symbols = visible - length
+    words = [w.lower() for w in words]
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
     repeated = lambda xs: _share(sum(len(x) * (k - 1) for x, k in Counter(xs).items()), sum(map(len, xs)))
@@ -163,7 +168,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
         seen.add(key)
     return (
         len(text), n, _share(length, n), _share(symbols, visible), len(lines), _share(sum(_ends(x) in STOP for x in lines), len(lines)),
-        _share(sum(w in common for w in words), n), repeated(lines), repeated(paragraphs), top, prose, _share(prose, n),
+        _share(len([w for w in words if w in common]), n), repeated(lines), repeated(paragraphs), top, prose, _share(prose, n),
     )
 
 
