@@ -53,28 +53,30 @@ def _plain_number(text: Column) -> Column:
     return F.when((size != "0") & text.startswith("-"), F.concat(F.lit("-"), size)).otherwise(size)
 
 
-def readable(term: Column, range_dt: Column) -> Column:
-    """Canonical text of a literal under a range, NULL when it cannot be read as that range.
+def literal_text(term: Column) -> Column:
+    """Lexical text of a literal, whatever its datatype, with surrounding blanks cut off; NULL for other terms."""
+    return F.btrim(T.unescape(T.raw_text(term)), F.lit(" \t\r\n\u00a0"))
 
-    The lexical text counts, whatever its datatype, with surrounding blanks cut off. IRIs, blank nodes and NULL give NULL.
-    """
-    text = F.btrim(T.unescape(T.raw_text(term)), F.lit(" \t\r\n\u00a0"))
+
+def canonical(text: Column, range_dt: Column) -> Column:
+    """One spelling per value of a text under a range, NULL when it cannot be read as that range."""
     day, time = F.substr(text, F.lit(1), F.lit(10)), F.substr(text, F.lit(1), F.lit(19))
+    stamp = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?$"
     return (
-        F.when((range_dt == "integer") & text.rlike("^[+-]?[0-9]+$"), _plain_number(text))
-        .when((range_dt == "decimal") & text.rlike("^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$"), _plain_number(text))
-        .when((range_dt == "date") & text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & day.try_cast("date").isNotNull(), day)
-        .when(
-            (range_dt == "datetime")
-            & text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?$")
-            & day.try_cast("date").isNotNull(),
-            time,
-        )
+        F.when(range_dt == "integer", F.when(text.rlike("^[+-]?[0-9]+$"), _plain_number(text)))
+        .when(range_dt == "decimal", F.when(text.rlike("^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$"), _plain_number(text)))
+        .when(range_dt == "date", F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & day.try_cast("date").isNotNull(), day))
+        .when(range_dt == "datetime", F.when(text.rlike(stamp) & day.try_cast("date").isNotNull(), time))
         .when((range_dt == "boolean") & text.isin("true", "1"), F.lit("true"))
         .when((range_dt == "boolean") & text.isin("false", "0"), F.lit("false"))
     )
 
 
+def readable(term: Column, range_dt: Column) -> Column:
+    """Canonical text of a literal under a range; IRIs, blank nodes, NULL and what cannot be read give NULL."""
+    return canonical(literal_text(term), range_dt)
+
+
 def entity_maps(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
     """(s, cells): for each subject a map from attribute code to (value, n_read, n_rows).
 
@@ -84,13 +86,14 @@ def entity_maps(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
     attributes get an empty map. NULL subjects are dropped; NULL predicates and objects count as no attribute and as
     unreadable.
     """
-    code = F.create_map(*[F.lit(x) for a in attrs for x in (a.predicate, a.code)]) if attrs else F.lit(None)
-    kinds = F.create_map(*[F.lit(x) for a in attrs for x in (a.predicate, a.range_dt)]) if attrs else F.lit(None)
-    base = statements.where(F.col("s").isNotNull()).select(
-        F.col("s"),
-        (F.try_element_at(code, F.col("p")) if attrs else F.lit(None)).cast("smallint").alias("a"),
-        (readable(F.col("o"), F.try_element_at(kinds, F.col("p"))) if attrs else F.lit(None).cast("string")).alias("v"),
-    )
+    known = F.create_map(*[F.lit(x) for a in attrs for x in (a.predicate, a.code)]) if attrs else None
+    ranges = F.create_map(*[F.lit(x) for a in attrs for x in (a.code, a.range_dt)]) if attrs else None
+    code = F.try_element_at(known, F.col("p")) if attrs else F.lit(None).cast("int")
+    base = statements.where(F.col("s").isNotNull()).select("s", code.alias("c"), F.col("o"))
+    # the text is a column of its own, so that the branches below read it instead of working it out again
+    text = F.when(F.col("c").isNotNull(), literal_text(F.col("o")))
+    base = base.select("s", "c", text.alias("t"), (F.try_element_at(ranges, F.col("c")) if attrs else F.lit(None).cast("string")).alias("r"))
+    base = base.select("s", F.col("c").cast("smallint").alias("a"), canonical(F.col("t"), F.col("r")).alias("v"))
     folded = base.groupBy("s", "a").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n_read"), F.count(F.lit(1)).alias("n_rows")
     )
