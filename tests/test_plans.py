@@ -120,3 +120,25 @@ def test_federated_result_equals_that_over_all_data(spark, rows):
     got = engine.run_plan(engine.federated(bgp))
     want = Engine(whole).sparql("{ ?x a <P> ; <n> ?n }")
     assert rows(got.select("x", "n")) == rows(want.select("x", "n")) and got.count() == 6
+
+
+def test_hooks_and_tree_walks(store, planner):
+    plan = planner.optimize(parse_bgp(f"{{ ?x a <{RS}ResultSet> ; <{RS}resultVariable> ?y ; <{RS}solution> ?s }}"))
+    before, after = [], []
+    plan.visit(lambda p: before.append(type(p).__name__))
+    plan.visit(lambda p: after.append(type(p).__name__), postfix=True)
+    assert before[0] == after[-1] == "Join" and sorted(before) == sorted(after) and len(before) == 5
+    moved = plan.rewrite(lambda p: P.replace(p, location=1) if isinstance(p, P.Access) else p)
+    assert moved.service_calls() == 3 and plan.service_calls() == 0 and P.flatten(P.UnionPlan((P.UnionPlan((moved, plan)), plan))).parts == (plan, plan, moved)
+    seen = []
+
+    def executor(compiler, bgp, source):
+        seen.append(len(bgp.triples))
+        return P.execute(P.Planner(source).optimize(bgp), compiler, [source])
+
+    engine = Engine(store)
+    engine.config.bgp_executor = executor
+    assert engine.sparql(f"{{ ?x a <{RS}ResultSet> ; <{RS}resultVariable> ?y }}").count() == 4 and seen == [2]
+    few = P.Config(access_plans=lambda pl, t: pl.local_access_plans(t)[:1], join_plans=lambda pl, a, b, outer: [P.Join("hash", a[0], b[0])])
+    assert P.Planner(store, few).optimize(BGP((T1, T2))).text(few).startswith("hash-join(")
+    assert engine.create_view("sets", f"{{ ?x a <{RS}ResultSet> }}").sparkSession.sql("SELECT * FROM sets").count() == 2

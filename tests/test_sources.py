@@ -138,3 +138,31 @@ def test_command_line(spark, tmp_path, capsys):
     for args, want in ((["count", at], "4"), (["query", at, "{ ?x <http://e/p2> ?y }"], '"l1"'), (["explain", at, "{ ?x <http://e/p1> ?y . ?y <http://e/p2> ?z }"], "-join("), (["dump", at], "<http://e/r1>"), (["stats", at], "sp"), (["terms", at], "lit")):
         cli.main(args, spark)
         assert want in capsys.readouterr().out
+    (tmp_path / "q.rq").write_text("{ ?x <http://e/p2> ?y }")
+    cli.main(["query", at, f"@{tmp_path / 'q.rq'}", "--out", str(tmp_path / "rows")], spark)
+    assert {r.value for r in spark.read.text(str(tmp_path / "rows")).collect()} == {'{ x=<http://e/r1>, y="l1" }', '{ x=<http://e/r2>, y="l2" }'}
+
+
+def test_scans_through_a_permutation_and_shared_dictionaries(spark, tmp_path, rows):
+    store = TripleStore.from_triples(spark, parse_turtle('<s> <p> "l3", "l", "l2" . <s2> <p> "l3", "l2" .'))
+    scan = (var("x"), iri("p"), var("y"))
+    assert [r.y for r in store.match_by(*scan, "POS").collect()] == ['"l"', '"l2"', '"l2"', '"l3"', '"l3"']
+    assert [r.x for r in store.match_by(*scan, "PSO").collect()] == ["<s>"] * 3 + ["<s2>"] * 2
+    try:
+        store.match_by(*scan, "SPO")
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("an ordering that cannot answer the pattern was taken")
+    ids = IdStore.encode(store)
+    ids.write(str(tmp_path / "ids"))
+    again = IdStore.read(spark, str(tmp_path / "ids"))
+    assert rows(again.match(*scan)) == rows(store.match(*scan)) and again.count(var("x"), iri("none"), var("y")) == 0
+    other = IdStore.encode(TripleStore.from_triples(spark, parse_turtle('<s> <p> "l" .')), again.terms)
+    assert rows(other.store().df) == [("<s>", "<p>", '"l"')]
+
+
+def test_global_ids(spark):
+    df = spark.createDataFrame([(i,) for i in (1, 16, 31, 400_000)], "id long")
+    got = df.select("id", D.global_id(F.col("id"), 16).alias("g")).select("id", "g", D.local_id(F.col("g")).alias("l"), D.owner(F.col("g")).alias("r")).collect()
+    assert all(r.l == r.id and r.r == r.id % 16 and r.g == (r.id % 16) << 48 | r.id for r in got)

@@ -1,7 +1,8 @@
 """Command line: load RDF files into a store, query, explain, count, dump and number its terms.
 
     python -m trellis.cli load STORE FILE [--syntax turtle]
-    python -m trellis.cli query STORE 'SELECT ...' [--order dp]
+    python -m trellis.cli query STORE 'SELECT ...' [--order dp] [--out FOLDER]
+    python -m trellis.cli query STORE @query.rq
     python -m trellis.cli explain STORE '{ ... }'
     python -m trellis.cli count|dump|stats|terms STORE
 """
@@ -10,10 +11,11 @@ from __future__ import annotations
 
 import argparse
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from trellis.engine import Engine, EngineConfig
+from trellis.engine import Engine, EngineConfig, write_rows
 from trellis.operators.dictionary import build_dictionary
 from trellis.plans.parser import parse_bgp
 from trellis.session import configure
@@ -28,8 +30,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("text", nargs="?", default="")
     p.add_argument("--syntax")
     p.add_argument("--order", default="connected")
+    p.add_argument("--out", help="folder for the rows of a query, instead of printing them")
     p.add_argument("--rows", type=int, default=1000, help="rows that are printed")
     a = p.parse_args(args)
+    if a.text.startswith("@"):
+        a.text = Path(a.text[1:]).read_text()
     spark = spark or configure(SparkSession.builder.appName("trellis")).getOrCreate()
     if a.verb == "load":
         began = time.perf_counter()
@@ -42,6 +47,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(store.size())
     elif a.verb == "explain":
         print(Engine(store).explain(parse_bgp(a.text)))
+    elif a.verb == "query" and a.out:
+        write_rows(Engine(store, EngineConfig(order=a.order)).sparql(a.text), a.out, mode="overwrite")
     else:
         frames = {
             "query": lambda: Engine(store, EngineConfig(order=a.order)).sparql(a.text),

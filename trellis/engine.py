@@ -84,6 +84,12 @@ class Engine:
         named = df.where(F.col("g").isin([t.nt for t in q.named_graphs])).select("s", "p", "o", "g")
         return TripleStore(default.unionByName(named))
 
+    def create_view(self, name: str, text: str) -> DataFrame:
+        """Run a query and make its result a temporary view, for SQL clients."""
+        df = self.sparql(text)
+        df.createOrReplaceTempView(name)
+        return df
+
     def ask(self, text: str) -> bool:
         return self.sparql(text).first()[0]
 
@@ -104,6 +110,12 @@ class Engine:
         return P.Planner(self.store, self.config.planner).optimize(bgp)
 
 
+def write_rows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Result rows as lines of text, written in parallel, in the form of format_rows."""
+    pairs = [F.concat(F.lit(f"{c}="), F.col(c)) for c in df.columns]
+    df.select(F.concat(F.lit("{ "), F.concat_ws(", ", *pairs), F.lit(" }")).alias("value")).write.mode(mode).text(path)
+
+
 def format_rows(df: DataFrame) -> list[str]:
     """Result rows as text, `{ x=<a>, y="b" }`; unbound variables are left out. Gathers the rows: for small results."""
     return ["{ " + ", ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) + " }" for r in df.collect()]

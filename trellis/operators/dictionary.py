@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import terms as T
 from trellis.session import broadcast_if_small, cut_lineage
 
-#: Terms of a dictionary up to which one task may number them; larger ones are numbered range by range.
-ONE_TASK = 100_000
+#: Bits of a global id below the rank that owns it.
+RANK_SHIFT = 48
 
 
 def distinct_terms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,3 +77,16 @@ def lookup(requests: DataFrame, column: str, terms: DataFrame, by: str = "nt") -
     other = "id" if by == "nt" else "nt"
     pairs = terms.select(F.col(by).alias(column), F.col(other).alias(f"{column}_{other}"))
     return requests.join(broadcast_if_small(pairs), column, "left")
+
+
+def global_id(ident: Column, ranks: int) -> Column:
+    """An id tagged with the rank that owns it, id % ranks, above the lower 48 bits."""
+    return F.shiftleft(F.pmod(ident, F.lit(ranks)), RANK_SHIFT).bitwiseOR(ident)
+
+
+def local_id(gid: Column) -> Column:
+    return gid.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
+
+
+def owner(gid: Column) -> Column:
+    return F.shiftright(gid, RANK_SHIFT).cast("int")

@@ -279,10 +279,17 @@ def id_query(spark, d):
 def lookup_ids(spark, d):
     """Terms of the ids that ranks ask for."""
     terms = table(spark, d, "terms").select("id", "nt").unionByName(table(spark, d, "vocab").select("id", "nt"))
-    asked = table(spark, d, "gid_lookups").select("lookup_id", F.col("gid").bitwiseAND(F.lit((1 << 48) - 1)).alias("id"))
+    asked = table(spark, d, "gid_lookups").select("lookup_id", dictionary.local_id(F.col("gid")).alias("id"))
     return dictionary.lookup(asked, "id", terms, by="id").select("lookup_id", "id_nt")
 
 
+@_query("SELECT id, ((id % 16) << 48) | id AS gid, CAST(id % 16 AS INTEGER) AS rank FROM terms")
+def global_ids(spark, d):
+    """Ids of terms tagged with the rank that owns them, and the rank read back."""
+    gid = dictionary.global_id(F.col("id"), 16)
+    return table(spark, d, "terms").select("id", gid.alias("gid"), dictionary.owner(gid).alias("rank"))
+
+
 @_query("SELECT r.req_id, t.id FROM id_requests r LEFT JOIN (SELECT id, nt FROM terms UNION ALL SELECT id, nt FROM vocab) t ON t.nt = r.nt")
 def lookup_terms(spark, d):
     """Ids of the terms that ask for one, NULL for unknown ones."""

@@ -134,11 +134,20 @@ class TripleStore:
         """A scan that answers several patterns of one subject at once, where the layout allows it; else None."""
         return None
 
-    def match(self, s: Term, p: Term, o: Term) -> DataFrame:
-        """Bindings of one pattern under the variables' own names."""
+    def match(self, s: Term, p: Term, o: Term, sort: Sequence[str] = ()) -> DataFrame:
+        """Bindings of one pattern under the variables' own names, in the term order of the variables `sort` if given."""
         n = iter(range(99))
         df, cols = self.scan(Triple(s, p, o), lambda: f"__{next(n)}")
-        return df.select(*[e.term().alias(t.value) for t, e in cols.items()])
+        df = df.select(*[e.term().alias(t.value) for t, e in cols.items()])
+        return df.orderBy(*[k for name in sort for k in T.order_keys(name)]) if sort else df
+
+    def match_by(self, s: Term, p: Term, o: Term, ordering: str) -> DataFrame:
+        """The same through one of the permutations that can answer the pattern: rows come in its order."""
+        t = Triple(s, p, o)
+        if ordering not in self.orderings(t):
+            raise ValueError(f"{ordering} cannot answer {t.sse()}")
+        place = dict(zip("SPO", t.terms))
+        return self.match(s, p, o, list(dict.fromkeys(place[k].value for k in ordering if place[k].is_var)))
 
     def contains(self, s: Term, p: Term, o: Term) -> bool:
         return not self.df.where(self.pattern_condition(Triple(s, p, o))).isEmpty()
@@ -259,6 +268,22 @@ class IdStore(TripleStore):
             return df, cols
         return df, {v: Encoded(e.name, self._template, dictionary=self.terms) for v, e in cols.items()}
 
+    def write(self, path: str, mode: str = "errorifexists", sort: str = "spo") -> None:
+        """Parquet of ids, sorted by range, and of the dictionary, which other stores may share."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.df.repartitionByRange(n, *sort).sortWithinPartitions(*sort).write.mode(mode).parquet(os.path.join(path, "ids"))
+        self.terms.write.mode(mode).parquet(os.path.join(path, "terms"))
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> IdStore:
+        return cls(spark.read.parquet(os.path.join(path, "ids")), spark.read.parquet(os.path.join(path, "terms")))
+
+    def match(self, s: Term, p: Term, o: Term, sort: Sequence[str] = ()) -> DataFrame:
+        n = iter(range(99))
+        df, cols = self.scan(Triple(s, p, o), lambda: f"__{next(n)}")
+        df = self.decode(df.select(*[F.col(e.name).alias(t.value) for t, e in cols.items()]), [t.value for t in cols])
+        return df.orderBy(*[k for name in sort for k in T.order_keys(name)]) if sort else df
+
     def decode(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         from trellis.operators.dictionary import decode_columns
 
