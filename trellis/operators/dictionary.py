@@ -23,17 +23,19 @@ def distinct_terms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def number_in_order(df: DataFrame, keys: Sequence, start: int = 1) -> DataFrame:
     """Add `id`, dense from start in the order of keys (Columns), without gathering the rows in one task.
 
-    Rows are range-partitioned by the keys and written once; each partition's rows are numbered within it and the
+    Rows are range-partitioned and sorted by the keys, marked with their place in their partition and written once; the
     partitions' sizes, one small row each, give the offsets. Ties get ids in no stated order.
     """
     named = df.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
     order = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(keys))]
-    placed = cut_lineage(named.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = placed.groupBy("__part").count()
-    first = sizes.withColumn("__first", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = placed.withColumn("__rank", rank).join(F.broadcast(first.select("__part", "__first")), "__part")
-    return out.withColumn("id", F.coalesce("__first", F.lit(0)) + F.col("__rank") + (start - 1)).select("id", *df.columns)
+    # the generated number holds the partition above its lower 33 bits and the row's place below
+    marked = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut_lineage(marked.drop(*[f"__k{i}" for i in range(len(keys))]))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).count()
+    first = sizes.select("__part", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__first"))
+    out = placed.withColumn("__part", part).join(F.broadcast(first), "__part")
+    return out.select((F.coalesce("__first", F.lit(0)) + place + start).alias("id"), *df.columns)
 
 
 def build_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
