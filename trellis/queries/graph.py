@@ -196,7 +196,7 @@ _sparql("optional_chain", _tables("nation", "region"), """{ ?n n:n_name ?name OP
   SELECT a.n, a.name, coalesce(a.k, b.k) AS k, b.m FROM (SELECT {_row('nation', 'n_nationkey')} AS n, {_txt('n_name')} AS name, CASE WHEN n_name < 'NATION_2' THEN '<{BASE}region/' || n_regionkey || '>' END AS k FROM nation) a
   LEFT JOIN (SELECT {_row('nation', 'n_nationkey')} AS m, '<{BASE}region/' || n_regionkey || '>' AS k FROM nation WHERE n_name = 'NATION_3') b ON a.k = b.k OR a.k IS NULL""")
 _sparql("union_same_vars", _tables("customer", "supplier", "nation"), "{ { ?x c:ref-c_nationkey ?n } UNION { ?x s:ref-s_nationkey ?n } }", f"SELECT {_row('customer', 'c_custkey')} AS x, {_row('nation', 'c_nationkey')} AS n FROM customer UNION ALL SELECT {_row('supplier', 's_suppkey')}, {_row('nation', 's_nationkey')} FROM supplier")
-_sparql("union_diff_vars", _tables("customer", "supplier"), "{ { ?x c:c_mktsegment ?segment } UNION { ?y s:s_name ?name } }", f"SELECT {_row('customer', 'c_custkey')} AS x, {_txt('c_mktsegment')} AS segment, NULL AS y, NULL AS name FROM customer UNION ALL SELECT NULL, NULL, {_row('supplier', 's_suppkey')}, {_txt('s_name')} FROM supplier")
+_sparql("union_diff_vars", _tables("customer", "supplier"), "{ { ?x c:c_mktsegment ?segment } UNION { ?y s:s_name ?name } }", f"SELECT {_row('customer', 'c_custkey')} AS x, {_txt('c_mktsegment')} AS segment, CAST(NULL AS VARCHAR) AS y, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT NULL, NULL, {_row('supplier', 's_suppkey')}, {_txt('s_name')} FROM supplier")
 _G = "(SELECT DISTINCT s, p, o, g FROM quads WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL)"
 _sparql("named_graph", _named, "{ GRAPH ?g { ?x rdf:type ?c } }", f"SELECT g, s AS x, o AS c FROM {_G} WHERE g IS NOT NULL AND p = {TYPE}")
 _sparql("named_graph_constant", _named, "{ GRAPH <http://data.example/graph/main> { ?x d:country ?c . ?x d:label ?l } }", f"SELECT a.s AS x, a.o AS c, b.o AS l FROM {_G} a JOIN {_G} b ON a.s = b.s WHERE a.g = '<http://data.example/graph/main>' AND b.g = a.g AND a.p = {P_('country')} AND b.p = {P_('label')}")
@@ -218,7 +218,7 @@ _ORDERS = f"SELECT {_row('orders', 'o_orderkey')} AS o, {_dbl('o_totalprice')} A
 _sparql("filter_compare", _tables("orders", "customer"), "{ ?o o:o_totalprice ?price FILTER(?price >= 250000) }", f"{_ORDERS} WHERE o_totalprice >= 250000")
 _sparql("filter_logic", _tables("orders", "customer"), '{ ?o o:o_totalprice ?price ; o:o_orderstatus ?st FILTER((?price < 50000 || ?price > 400000) && !(?st = "F")) }', f"SELECT {_row('orders', 'o_orderkey')} AS o, {_dbl('o_totalprice')} AS price, {_txt('o_orderstatus')} AS st FROM orders WHERE (o_totalprice < 50000 OR o_totalprice > 400000) AND o_orderstatus <> 'F'")
 _sparql("filter_arith", _tables("lineitem", "part"), "{ ?l l:l_extendedprice ?e ; l:l_discount ?dis FILTER(?e * (1 - ?dis) / 2 + 1 > 30000) }", f"SELECT {_row('lineitem', "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)")} AS l, {_dbl('l_extendedprice')} AS e, {_dbl('l_discount')} AS dis FROM lineitem WHERE l_extendedprice * (1 - l_discount) / 2 + 1 > 30000")
-_sparql("filter_bound", _statements, "{ ?x d:country ?c OPTIONAL { ?x d:closed ?l } FILTER(!BOUND(?l)) }", f"SELECT a.x, a.c, NULL AS l FROM {_COUNTRY} a WHERE NOT EXISTS (SELECT 1 FROM quads b WHERE b.p = {P_('closed')} AND a.x = b.s)")
+_sparql("filter_bound", _statements, "{ ?x d:country ?c OPTIONAL { ?x d:closed ?l } FILTER(!BOUND(?l)) }", f"SELECT a.x, a.c, CAST(NULL AS VARCHAR) AS l FROM {_COUNTRY} a WHERE NOT EXISTS (SELECT 1 FROM quads b WHERE b.p = {P_('closed')} AND a.x = b.s)")
 _sparql("filter_str", _statements, '{ ?x rdf:type ?t FILTER(STR(?t) = "http://data.example/class/parcel") }', f"SELECT s AS x, o AS t FROM {Q} WHERE p = {TYPE} AND o IN ('<http://data.example/class/parcel>', '\"http://data.example/class/parcel\"')")
 _sparql("filter_lang", _statements, '{ ?x d:label ?l FILTER(LANG(?l) = "en") }', f"SELECT * FROM {_LABEL} WHERE regexp_matches(l, '\"@en$')")
 _sparql("filter_langmatches", _statements, '{ ?x d:label ?l FILTER LANGMATCHES(LANG(?l), "EN") }', f"SELECT * FROM {_LABEL} WHERE regexp_matches(lower(l), '\"@en(-[a-z0-9-]+)?$')")
@@ -230,7 +230,7 @@ _sparql("filter_unary", _tables("supplier", "nation"), "{ ?s s:s_acctbal ?b FILT
 
 # ---------------------------------------------------------------- result modifiers
 
-_sparql("project_missing", _tables("nation", "region"), "SELECT ?name ?nothing { ?n n:n_name ?name }", f"SELECT {_txt('n_name')} AS name, NULL AS nothing FROM nation")
+_sparql("project_missing", _tables("nation", "region"), "SELECT ?name ?nothing { ?n n:n_name ?name }", f"SELECT {_txt('n_name')} AS name, CAST(NULL AS VARCHAR) AS nothing FROM nation")
 _sparql("select_distinct", _statements, "SELECT DISTINCT ?c { ?x d:country ?c }", f"SELECT DISTINCT c FROM {_COUNTRY}")
 _sparql("order_by_terms", _statements, "SELECT ?x ?y { ?x d:cites ?y } ORDER BY ?y ?x LIMIT 500", f"""SELECT x, y FROM {_CITES}
   ORDER BY CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN 0 WHEN y LIKE '<%' THEN 1 ELSE 2 END, CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN substr(y, 3) WHEN y LIKE '<%' THEN substr(y, 2, length(y) - 2) ELSE {_VAL('y')} END, y,
