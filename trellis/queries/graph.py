@@ -157,23 +157,32 @@ _ITEM_SQL = f"SELECT a.s AS x, b.o AS c, e.o AS l FROM {Q} a JOIN {Q} b ON a.s =
 _sparql("bgp_statements_star", _statements, _ITEM, _ITEM_SQL)
 
 
-def _trade(spark: SparkSession, d: str) -> TripleStore:
-    """Edges between nations: a customer's nation buys from a supplier's."""
+def _trade(spark: SparkSession, d: str, some: str = "true") -> TripleStore:
+    """Edges between nations: a customer's nation buys from a supplier's. `some` keeps only the edges that it is true of."""
     edges = (
         table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
         .join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("c_nationkey % 5 = s_nationkey % 3").select("c_nationkey", "s_nationkey").distinct()
+        .where(some).select("c_nationkey", "s_nationkey").distinct()
     )
     nation = lambda c: F.concat(F.lit(f"<{BASE}nation/"), F.col(c).cast("string"), F.lit(">"))
     return TripleStore(edges.select(nation("c_nationkey").alias("s"), F.lit(f"<{BASE}buys>").alias("p"), nation("s_nationkey").alias("o")))
 
 
+def _trade_some(spark: SparkSession, d: str) -> TripleStore:
+    """The fifth of the edges that _TRADE_SQL keeps."""
+    return _trade(spark, d, "c_nationkey % 5 = s_nationkey % 3")
+
+
 _TRADE_SQL = f"""(SELECT DISTINCT {_row('nation', 'c_nationkey')} AS s, {_row('nation', 's_nationkey')} AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey % 5 = s_nationkey % 3)"""
-_sparql("scan_repeated_var", _trade, "{ ?x ?p ?x }", f"SELECT s AS x, '<{BASE}buys>' AS p FROM {_TRADE_SQL} WHERE s = o")
-_sparql("bgp_triangle", _trade, "{ ?p t:buys ?q . ?q t:buys ?r . ?r t:buys ?p }", f"SELECT a.s AS p, a.o AS q, b.o AS r FROM {_TRADE_SQL} a JOIN {_TRADE_SQL} b ON a.o = b.s JOIN {_TRADE_SQL} c ON b.o = c.s AND c.o = a.s")
+_sparql("scan_repeated_var", _trade_some, "{ ?x ?p ?x }", f"SELECT s AS x, '<{BASE}buys>' AS p FROM {_TRADE_SQL} WHERE s = o")
+_sparql("bgp_triangle", _trade_some, "{ ?p t:buys ?q . ?q t:buys ?r . ?r t:buys ?p }", f"SELECT a.s AS p, a.o AS q, b.o AS r FROM {_TRADE_SQL} a JOIN {_TRADE_SQL} b ON a.o = b.s JOIN {_TRADE_SQL} c ON b.o = c.s AND c.o = a.s")
+_ALL_TRADE_SQL = f"""(SELECT DISTINCT {_row('nation', 'c_nationkey')} AS s, {_row('nation', 's_nationkey')} AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_sparql("scan_repeated_var_all", _trade, "{ ?x ?p ?x }", f"SELECT s AS x, '<{BASE}buys>' AS p FROM {_ALL_TRADE_SQL} WHERE s = o")
+_sparql("bgp_triangle_all", _trade, "{ ?p t:buys ?q . ?q t:buys ?r . ?r t:buys ?p }", f"SELECT a.s AS p, a.o AS q, b.o AS r FROM {_ALL_TRADE_SQL} a JOIN {_ALL_TRADE_SQL} b ON a.o = b.s JOIN {_ALL_TRADE_SQL} c ON b.o = c.s AND c.o = a.s")
 
 # ---------------------------------------------------------------- join algorithms
 
