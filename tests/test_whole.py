@@ -1,5 +1,6 @@
 """Queries over whole tables: rows that a selection in the query would lose."""
 
+from trellis.functions.terms import lit
 from trellis.queries import QUERIES
 
 NATION = "<http://ex.org/nation/{}>"
@@ -22,3 +23,11 @@ def test_triangles_and_loops_follow_from_every_edge(spark, rows, tmp_path):
     got = {tuple(r[c] for c in "pqr") for r in QUERIES["bgp_triangle_all"](spark, str(tmp_path)).collect()}
     assert got == {loop, *(tuple(ring[k:] + ring[:k]) for k in range(3))}
     assert [r.x for r in QUERIES["scan_repeated_var_all"](spark, str(tmp_path)).collect()] == [NATION.format(3)]
+
+
+def test_accessors_read_escaped_terms_too(spark, tmp_path):
+    texts = ["plain", "a\\tb\nc\r\n", 'q"\\', "é\\u0041"]
+    terms = [lit(texts[0]), lit(texts[1], lang="de"), lit(texts[2], dt="http://e/t"), lit(texts[3])]
+    spark.createDataFrame([(i, t.nt) for i, t in enumerate(terms)], "id long, nt string").write.parquet(f"{tmp_path}/terms.parquet")
+    got = sorted(tuple(r[c] for c in ("id", "rank", "kind", "value", "lang", "dt")) for r in QUERIES["term_accessors_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, 2, "lit", t.value, t.lang, t.dt) for i, t in enumerate(terms)]

@@ -345,6 +345,13 @@ def term_accessors(spark, d):
     return T.explode_term(df.withColumn("rank", T.kind_rank("nt")), "nt").drop("nt")
 
 
+@_query("SELECT id, CASE kind WHEN 'bnode' THEN 0 WHEN 'iri' THEN 1 ELSE 2 END AS rank, kind, value, lang, dt FROM terms")
+def term_accessors_all(spark, d):
+    """The accessors over every term, escaped ones too."""
+    df = table(spark, d, "terms").select("id", "nt")
+    return T.explode_term(df.withColumn("rank", T.kind_rank("nt")), "nt").drop("nt")
+
+
 @_query(f"SELECT p, count(*) AS n FROM ({_TERMS_SQL.replace('SELECT DISTINCT t AS nt', 'SELECT t AS p')}) GROUP BY p")
 def term_frequencies(spark, d):
     """How often each term stands in any position."""
