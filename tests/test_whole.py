@@ -1,6 +1,6 @@
 """Queries over whole tables: rows that a selection in the query would lose."""
 
-from trellis.functions.terms import lit
+from trellis.functions.terms import lit, parse_term
 from trellis.queries import QUERIES
 
 NATION = "<http://ex.org/nation/{}>"
@@ -31,3 +31,12 @@ def test_accessors_read_escaped_terms_too(spark, tmp_path):
     spark.createDataFrame([(i, t.nt) for i, t in enumerate(terms)], "id long, nt string").write.parquet(f"{tmp_path}/terms.parquet")
     got = sorted(tuple(r[c] for c in ("id", "rank", "kind", "value", "lang", "dt")) for r in QUERIES["term_accessors_all"](spark, str(tmp_path)).collect())
     assert got == [(i, 2, "lit", t.value, t.lang, t.dt) for i, t in enumerate(terms)]
+
+
+def test_the_engine_orders_every_row(spark, tmp_path):
+    objects = ['"x"', "<http://e/b>", "_:n", '"a"@en', "<http://e/a>", '"a"']
+    data = [(f"<http://e/s{k // 6:03}>", "<http://data.example/schema/cites>", objects[k % 6], None) for k in range(1200)]
+    spark.createDataFrame(data, "s string, p string, o string, g string").repartition(5).write.parquet(f"{tmp_path}/quads.parquet")
+    key = lambda t: (*parse_term(t).order_key, t)
+    want = sorted(((s, o) for s, _, o, _ in data), key=lambda r: (key(r[1]), key(r[0])))
+    assert [(r.x, r.y) for r in QUERIES["order_by_terms_all"](spark, str(tmp_path)).collect()] == want

@@ -244,6 +244,9 @@ _sparql("select_distinct", _statements, "SELECT DISTINCT ?c { ?x d:country ?c }"
 _sparql("order_by_terms", _statements, "SELECT ?x ?y { ?x d:cites ?y } ORDER BY ?y ?x LIMIT 500", f"""SELECT x, y FROM {_CITES}
   ORDER BY CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN 0 WHEN y LIKE '<%' THEN 1 ELSE 2 END, CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN substr(y, 3) WHEN y LIKE '<%' THEN substr(y, 2, length(y) - 2) ELSE {_VAL('y')} END, y,
   CASE WHEN x LIKE '\\_:%' ESCAPE '\\' THEN 0 ELSE 1 END, x LIMIT 500""")
+_sparql("order_by_terms_all", _statements, "SELECT ?x ?y { ?x d:cites ?y } ORDER BY ?y ?x", f"""SELECT x, y FROM {_CITES}
+  ORDER BY CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN 0 WHEN y LIKE '<%' THEN 1 ELSE 2 END, CASE WHEN y LIKE '\\_:%' ESCAPE '\\' THEN substr(y, 3) WHEN y LIKE '<%' THEN substr(y, 2, length(y) - 2) ELSE {_VAL('y')} END, y,
+  CASE WHEN x LIKE '\\_:%' ESCAPE '\\' THEN 0 ELSE 1 END, x""")
 _sparql("limit_offset", _tables("orders", "customer"), "SELECT ?o ?price { ?o o:o_totalprice ?price } ORDER BY DESC(?price) ?o LIMIT 50 OFFSET 20", f"{_ORDERS} ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) LIMIT 50 OFFSET 20")
 SQL["limit_offset"] = SQL["limit_offset"].replace("o_totalprice DESC", "CAST(o_totalprice AS VARCHAR) DESC")
 _sparql("values_inline", _tables("nation", "region"), '{ VALUES ?name { "NATION_3" "NATION_7" } ?n n:n_name ?name }', f"SELECT {_txt('n_name')} AS name, {_row('nation', 'n_nationkey')} AS n FROM nation WHERE n_name IN ('NATION_3', 'NATION_7')")
