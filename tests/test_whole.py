@@ -2,6 +2,7 @@
 
 from trellis.functions.terms import lit, parse_term
 from trellis.queries import QUERIES
+from trellis.sources.tables import MappedStore
 
 NATION = "<http://ex.org/nation/{}>"
 
@@ -40,3 +41,13 @@ def test_the_engine_orders_every_row(spark, tmp_path):
     key = lambda t: (*parse_term(t).order_key, t)
     want = sorted(((s, o) for s, _, o, _ in data), key=lambda r: (key(r[1]), key(r[0])))
     assert [(r.x, r.y) for r in QUERIES["order_by_terms_all"](spark, str(tmp_path)).collect()] == want
+
+
+def test_every_cell_of_a_document_is_a_triple(spark, tmp_path):
+    data = [(1, "a", "en", 'b\n"', "de"), (2, "c", None, "d", None), (3, "e", "en", None, "de")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, tgt_text string, tgt_lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    store = MappedStore.open(spark, str(tmp_path), ["documents"])
+    got = {r.o for r in store.df.collect() if r.p == "<http://ex.org/documents#tgt_text>"}
+    assert got == {'"b\\n\\""@de', '"d"'}
+    assert store.size() == sum(v is not None for r in data for v in r) + len(data)
+    assert {(r.text, r.target) for r in QUERIES["bgp_documents"](spark, str(tmp_path)).collect()} == {('"a"@en', '"b\\n\\""@de'), ('"c"', '"d"')}

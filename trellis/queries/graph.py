@@ -156,6 +156,11 @@ _ITEM = f"{{ ?x rdf:type <http://data.example/class/parcel> ; d:country ?c ; d:l
 _ITEM_SQL = f"SELECT a.s AS x, b.o AS c, e.o AS l FROM {Q} a JOIN {Q} b ON a.s = b.s JOIN {Q} e ON a.s = e.s WHERE a.p = {TYPE} AND a.o = '<http://data.example/class/parcel>' AND b.p = {P_('country')} AND e.p = {P_('label')}"
 _sparql("bgp_statements_star", _statements, _ITEM, _ITEM_SQL)
 
+_ESC = lambda x: f"replace(replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+_TAGGED = lambda x, lang: f"'\"' || {_ESC(x)} || '\"' || coalesce('@' || {lang}, '')"
+_sparql("bgp_documents", _tables("documents"), "{ ?d doc:text ?text ; doc:tgt_text ?target }", f"SELECT {_row('documents', 'doc_id')} AS d, {_TAGGED('text', 'lang')} AS text, {_TAGGED('tgt_text', 'tgt_lang')} AS target FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND tgt_text IS NOT NULL")
+_sparql("bgp_events", _tables("events"), "{ ?e e:event_type ?type ; e:props ?props }", f"SELECT {_row('events', 'event_id')} AS e, {_txt('event_type')} AS type, {_txt(_ESC('props'))} AS props FROM events WHERE event_id IS NOT NULL AND event_type IS NOT NULL AND props IS NOT NULL")
+
 
 def _trade(spark: SparkSession, d: str, some: str = "true") -> TripleStore:
     """Edges between nations: a customer's nation buys from a supplier's. `some` keeps only the edges that it is true of."""

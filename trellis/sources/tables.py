@@ -32,7 +32,6 @@ class Mapping:
     key: tuple[str, ...]
     refs: dict[str, str] = field(default_factory=dict)
     langs: dict[str, str] = field(default_factory=dict)
-    skip: tuple[str, ...] = ()
 
 
 STAR_SCHEMA = (
@@ -44,7 +43,7 @@ STAR_SCHEMA = (
     Mapping("orders", ("o_orderkey",), {"o_custkey": "customer"}),
     Mapping("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
     Mapping("events", ("event_id",)),
-    Mapping("documents", ("doc_id",), langs={"text": "lang"}, skip=("tgt_text",)),
+    Mapping("documents", ("doc_id",), langs={"text": "lang", "tgt_text": "tgt_lang"}),
 )
 
 
@@ -72,7 +71,7 @@ class MappedStore(TripleStore):
         self.properties: dict[str, tuple[str, str]] = {}  # predicate -> (table, column; "" is the type, "ref-x" a reference)
         for name, m in self.maps.items():
             for f in self.tables[name].schema.fields:
-                if not isinstance(f.dataType, (ST.ArrayType, ST.MapType, ST.StructType)) and f.name not in m.skip:
+                if not isinstance(f.dataType, (ST.ArrayType, ST.MapType, ST.StructType)):
                     self.properties[f"{base}{name}#{f.name}"] = (name, f.name)
             for c, to in m.refs.items():
                 if to in self.maps:
