@@ -51,3 +51,13 @@ def test_every_cell_of_a_document_is_a_triple(spark, tmp_path):
     assert got == {'"b\\n\\""@de', '"d"'}
     assert store.size() == sum(v is not None for r in data for v in r) + len(data)
     assert {(r.text, r.target) for r in QUERIES["bgp_documents"](spark, str(tmp_path)).collect()} == {('"a"@en', '"b\\n\\""@de'), ('"c"', '"d"')}
+
+
+def test_a_chain_of_optionals_over_statements(spark, tmp_path):
+    d = "<http://data.example/schema/{}>".format
+    data = [("<a>", d("country"), '"X"'), ("<a>", d("label"), '"one"@en'), ("<a>", d("label"), '"eins"@de'), ("<b>", d("country"), '"Y"'), ("<b>", d("label"), '"zwei"@de'), ("<b>", d("label"), '"deux"@fr'), ("<c>", d("country"), '"Z"')]
+    spark.createDataFrame([(*r, None) for r in data], "s string, p string, o string, g string").write.parquet(f"{tmp_path}/quads.parquet")
+    df = QUERIES["optional_chain_quads"](spark, str(tmp_path))
+    assert {(r.x, r.c, r.l) for r in df.collect()} == {("<a>", '"X"', '"one"@en'), ("<b>", '"Y"', '"zwei"@de'), ("<b>", '"Y"', '"deux"@fr'), ("<c>", '"Z"', None)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert " OR " not in plan and "isnull(" in plan  # split by what is bound

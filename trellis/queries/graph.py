@@ -209,6 +209,9 @@ _sparql("optional_filter_scope", _statements, '{ ?x d:country ?c OPTIONAL { ?x d
 _sparql("optional_chain", _tables("nation", "region"), """{ ?n n:n_name ?name OPTIONAL { ?n n:ref-n_regionkey ?k . FILTER(?name < "NATION_2") } OPTIONAL { ?m n:ref-n_regionkey ?k . ?m n:n_name "NATION_3" } }""", f"""
   SELECT a.n, a.name, coalesce(a.k, b.k) AS k, b.m FROM (SELECT {_row('nation', 'n_nationkey')} AS n, {_txt('n_name')} AS name, CASE WHEN n_name < 'NATION_2' THEN '<{BASE}region/' || n_regionkey || '>' END AS k FROM nation) a
   LEFT JOIN (SELECT {_row('nation', 'n_nationkey')} AS m, '<{BASE}region/' || n_regionkey || '>' AS k FROM nation WHERE n_name = 'NATION_3') b ON a.k = b.k OR a.k IS NULL""")
+_sparql("optional_chain_quads", _statements, "{ ?x d:country ?c OPTIONAL { ?x d:label ?l FILTER(LANG(?l) = 'en') } OPTIONAL { ?x d:label ?l } }", f"""SELECT a.x, a.c, coalesce(a.l, b.o) AS l
+  FROM (SELECT c.s AS x, c.o AS c, e.o AS l FROM (SELECT * FROM {Q} WHERE p = {P_('country')}) c LEFT JOIN (SELECT * FROM {Q} WHERE p = {P_('label')} AND regexp_matches(o, '"@en$')) e ON c.s = e.s) a
+  LEFT JOIN (SELECT * FROM {Q} WHERE p = {P_('label')}) b ON a.x = b.s AND (a.l IS NULL OR a.l = b.o)""")
 _sparql("union_same_vars", _tables("customer", "supplier", "nation"), "{ { ?x c:ref-c_nationkey ?n } UNION { ?x s:ref-s_nationkey ?n } }", f"SELECT {_row('customer', 'c_custkey')} AS x, {_row('nation', 'c_nationkey')} AS n FROM customer UNION ALL SELECT {_row('supplier', 's_suppkey')}, {_row('nation', 's_nationkey')} FROM supplier")
 _sparql("union_diff_vars", _tables("customer", "supplier"), "{ { ?x c:c_mktsegment ?segment } UNION { ?y s:s_name ?name } }", f"SELECT {_row('customer', 'c_custkey')} AS x, {_txt('c_mktsegment')} AS segment, CAST(NULL AS VARCHAR) AS y, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT NULL, NULL, {_row('supplier', 's_suppkey')}, {_txt('s_name')} FROM supplier")
 _G = "(SELECT DISTINCT s, p, o, g FROM quads WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL)"
