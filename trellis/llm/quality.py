@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +29,14 @@ SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”»’)\]*_]*\s+")
 CLEAN = re.compile(r"[\"'“”„«»‘’(\[¿¡*_–—-]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”»«’)\].,;:!?…*_–—-]*$")
 NUMBER = re.compile(r"[(\[]?[+-]?\d[\d.,/:]*%?[)\].,;:!?]*$")
 SENTENCE_WORDS = 5
+#: Texts of which a greater share is repetition are no prose, whatever their sentences are like. The dominant bigram is left
+#: out: in a text of few words one that stands twice is chance.
+REPEATED = {"duplicate_line_share": 0.3, "duplicate_paragraph_share": 0.3, "repeated_3gram_share": 0.4, "repeated_5gram_share": 0.3}
 
 COLUMNS = (
     "n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, n_lines bigint, punctuated_line_share double, "
     "common_word_share double, duplicate_line_share double, duplicate_paragraph_share double, top_ngram_share double, "
-    "n_prose_words bigint, prose_share double"
+    "repeated_3gram_share double, repeated_5gram_share double, n_prose_words bigint, prose_share double"
 )
 
 
@@ -141,6 +145,17 @@ def _share(n: float, of: float) -> float:
     return n / of if of else 0.0
 
 
+def _covered(words: list[str], n: int) -> float:
+    """The share of the words' letters that stand in n-grams seen earlier in the text."""
+    seen: set[tuple[str, ...]] = set()
+    marked = bytearray(len(words))
+    for i, gram in enumerate(zip(*[words[k:] for k in range(n)])):
+        if gram in seen:
+            marked[i : i + n] = b"\1" * n
+        seen.add(gram)
+    return _share(sum(len(w) for w, m in zip(words, marked) if m), sum(map(len, words)))
+
+
 def statistics(text: str | None, common: frozenset[str]) -> tuple:
     """The values of COLUMNS for one text; a NULL text has the same statistics as an empty one."""
     text = text or ""
@@ -168,7 +183,8 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
         seen.add(key)
     return (
         len(text), n, _share(length, n), _share(symbols, visible), len(lines), _share(sum(_ends(x) in STOP for x in lines), len(lines)),
-        _share(len([w for w in words if w in common]), n), repeated(lines), repeated(paragraphs), top, prose, _share(prose, n),
+        _share(len([w for w in words if w in common]), n), repeated(lines), repeated(paragraphs), top,
+        _covered(words, 3), _covered(words, 5), prose, _share(prose, n),
     )
 
 
@@ -176,7 +192,7 @@ def quality(documents: DataFrame, doc_id: str, text: str, common_words: DataFram
     """(doc_id, COLUMNS..., is_prose): statistics of every text, in one narrow stage.
 
     is_prose is NULL for empty, blank and NULL texts, which are neither; else it tells whether at least half of the words
-    stand in running sentences. A text of symbols alone is no prose. common_words (word) must be a small table: it is
+    stand in running sentences and no share of REPEATED is exceeded. A text of symbols alone is no prose. common_words (word) must be a small table: it is
     counted first, and more than 100,000 words are an error. Rows that repeat a doc_id are judged each by itself.
     """
     held = common_words.where(F.col("word").isNotNull()).select(F.lower("word").alias("w")).distinct().limit(100_001).collect()
@@ -194,4 +210,5 @@ def quality(documents: DataFrame, doc_id: str, text: str, common_words: DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), t) for c, t in zip(columns, types)]], names=["doc_id", *names])
 
     out = documents.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
-    return out.withColumn("is_prose", F.when((F.col("n_words") == 0) & (F.col("symbol_ratio") == 0), None).otherwise(F.col("prose_share") >= 0.5))
+    prose = reduce(lambda a, b: a & b, [F.col(c) <= most for c, most in REPEATED.items()], F.col("prose_share") >= 0.5)
+    return out.withColumn("is_prose", F.when((F.col("n_words") == 0) & (F.col("symbol_ratio") == 0), None).otherwise(prose))
