@@ -105,7 +105,8 @@ def widen(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
     """One row per subject: s, a typed column per attribute, and `failures`.
 
     failures maps the predicate of each cell that has rows but no value to unreadable (no object could be read),
-    contradictory (more than one distinct readable value) or out_of_range (read, but beyond the column's type).
+    contradictory (more than one distinct readable value) or out_of_range (read, but beyond the column's type, as decimals of
+    more than ten places are).
     Repeated rows and different spellings of one value are one value. An empty table gives no row.
     """
     maps = entity_maps(statements, attrs)
@@ -114,6 +115,8 @@ def widen(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
         cell = F.try_element_at("cells", F.lit(a.code).cast("smallint"))
         value = cell["value"]
         typed = value.try_cast(TYPES[a.range_dt])
+        if a.range_dt == "decimal":  # a cast rounds what the scale cannot hold; canonical texts end in no zero
+            typed = F.when(~value.rlike("\\.[0-9]{11}"), typed)
         why = (
             F.when(cell.isNull(), F.lit(None))
             .when(cell["n_read"] == 0, "unreadable")
