@@ -133,6 +133,34 @@ def test_mix_reaches_shares_within_caps(spark):
     assert other != again
 
 
+def test_a_mix_of_smaller_total_holds_every_share(spark):
+    rnd = random.Random(8)
+    dd = spark.createDataFrame([(i, rnd.choice("aaaaaabbbc"), "word " * rnd.randrange(20, 80)) for i in range(4000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.3, 2), ("none", 0.0, 5)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(dd, "doc_id", "source", "text", targets, fit="shares")
+    got = {r.source: r for r in m.shares.collect()}
+    assert all(abs(r.reached_share - r.target_share) < 0.01 for r in got.values())
+    assert got["c"].drawn_tokens == pytest.approx(2 * got["c"].n_tokens, rel=0.01) and got["c"].quota_blocks <= got["c"].cap_blocks
+    small = mixing.mix(dd, "doc_id", "source", "text", targets, fit="shares", total_tokens=20_000)
+    assert sum(r.drawn_tokens for r in small.shares.collect()) == pytest.approx(20_000, rel=0.05)
+    with pytest.raises(ValueError):
+        mixing.mix(dd, "doc_id", "source", "text", targets, fit="other")
+
+
+def test_the_apportionment_decides_which_sources_fall_short(spark, monkeypatch):
+    dd = spark.createDataFrame([(i, "ab"[i % 10 == 0], "word " * 30) for i in range(500)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    found = lambda: {r.source for r in mixing.mix(dd, "doc_id", "source", "text", targets).shares.where("beyond_cap").collect()}
+    assert found() == {"b"}
+    monkeypatch.setattr(mixing, "sainte_lague", lambda weights, seats, caps: [0] * len(weights))
+    assert found() == set()
+
+
+@pytest.mark.parametrize("most", [99, 100, 101])
+def test_near_a_cap_the_tokens_decide(most):
+    assert mixing._asks_too_much(10, Fraction(1, 10), 1000, 10, most, 7) == (100 > most)
+
+
 def test_mix_of_empty_tables(spark):
     dd = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

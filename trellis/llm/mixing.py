@@ -1,10 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sizes are counted in tokens of a public tokenizer. Each source is cut into shards and each shard into blocks of about
-equal tokens; the mix has as many block seats as the sources together have blocks. Seats go to sources by highest
-quotients of their target shares, no source above max_repeats times its blocks; a source's seats go to its shards the
-same way, weighted by their blocks; within a shard the blocks are taken in a seeded order. The driver sees one row per
-shard, whose number is bounded by MAX_SHARDS; everything per document stays distributed.
+equal tokens; the mix has as many block seats as its total holds. Seats go to sources by highest quotients of their target
+shares, no source above max_repeats times its blocks; a source's seats go to its shards the same way, weighted by their
+blocks; within a shard the blocks are taken from a seeded one on. Everything per document stays distributed.
 """
 
 from __future__ import annotations
@@ -17,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.session import cut_lineage
+from trellis.session import broadcast_if_small, cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published splitting pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 4096
 SHARD_TOKENS = 1 << 20
+#: Shards of all sources together, beside one a source; larger inputs have larger shards.
 MAX_SHARDS = 20_000
+#: Blocks are made smaller where there would be fewer.
+LEAST_BLOCKS = 4096
 
 _encoders: dict[str, object] = {}
 
@@ -98,55 +100,91 @@ class Mix:
         self.rows, self.shares = rows, shares
 
 
-def mix(documents: DataFrame, doc_id: str, source: str, text: str, targets: DataFrame, seed: int = 7, path: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> Mix:
+def held_seats(weights: list[Fraction], caps: list[int], most: int) -> int:
+    """The most seats, up to `most`, of which every entry can take what the quotients give it within its cap.
+
+    Seats by highest quotients never fall when there are more of them, so the number can be searched by halving.
+    """
+    fits = lambda n: all(g <= c for g, c in zip(sainte_lague(weights, n, [n] * len(weights)), caps))
+    lo, hi = 0, most
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid - 1)
+    return lo
+
+
+def mix(
+    documents: DataFrame, doc_id: str, source: str, text: str, targets: DataFrame, seed: int = 7, path: str = TOKENIZER,
+    block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, total_tokens: int | None = None, fit: str = "total",
+) -> Mix:
     """Plan a mix of the documents whose source is in `targets` (source, target_share, max_repeats).
 
-    Rows of other or NULL sources are no part of it. A target whose source has no documents stays empty. doc_id must be
-    unique, and so must the sources of the targets. Shares report, per source: its size, whether its share of the whole lies beyond its cap, tokens drawn and
-    the share that they reach. The number of targets must be at most MAX_SHARDS.
+    The total is total_tokens, or the size of all those documents. fit="total" keeps it: what a source cannot give within its
+    cap goes to the others, whose shares then rise. fit="shares" lowers it as far as every source needs to reach its share
+    within its cap; a source without documents can reach none and is left out of that.
+
+    Rows of other or NULL sources are no part of the mix. A target whose source has no documents stays empty. doc_id must be
+    unique, and so must the sources of the targets. Shares report, per source: its size, the blocks that its share of the total
+    asks for, the blocks that its repeats allow, whether it asks for more than that (beyond_cap), the blocks given, the
+    tokens drawn and the share that they reach. The driver holds one row per target and per shard.
     """
-    goals = targets.select(F.col("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).orderBy("source").limit(MAX_SHARDS + 1).collect()
-    if len(goals) > MAX_SHARDS:
-        raise ValueError(f"more than {MAX_SHARDS} target sources")
+    if fit not in ("total", "shares"):
+        raise ValueError(f"unknown fit {fit}")
+    goals = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull()).orderBy("source").collect()
     spark = documents.sparkSession
     names = [g.source for g in goals]
-    wanted = F.broadcast(spark.createDataFrame([(n,) for n in names], "source string"))  # at most MAX_SHARDS names
+    wanted = broadcast_if_small(spark.createDataFrame([(n,) for n in names], "source string"))
     inside = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).join(wanted, "source", "left_semi")
     counted = cut_lineage(token_counts(inside, "text", {"doc_id": "doc_id", "source": "source"}, path))
     sizes = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    total = sum(sizes.values())
-    per_shard = max(shard_tokens, -(-total // MAX_SHARDS))
+    size = sum(sizes.values())
+    total = size if total_tokens is None else total_tokens
+    # blocks so small that there are enough of them to tell the shares apart
+    block = max(1, min(block_tokens, max(size, total) // LEAST_BLOCKS))
+    per_shard = max(shard_tokens, -(-size // MAX_SHARDS))
     n_shards = spark.createDataFrame([(s, max(1, round(n / per_shard))) for s, n in sizes.items()], "source string, shards int")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = counted.join(F.broadcast(n_shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")).drop("shards")
+    placed = counted.join(broadcast_if_small(n_shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")).drop("shards")
     sums = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).orderBy("source", "shard").collect()
-    blocks: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
+    blocks: dict[str, list[tuple[int, int, int]]] = {n: [] for n in names}
     for r in sums:
         if r.n:
-            blocks[r.source].append((r.shard, max(1, round(r.n / block_tokens))))
-    of = {name: sum(b for _, b in own) for name, own in blocks.items()}
+            blocks[r.source].append((r.shard, max(1, round(r.n / block)), r.n))
+    caps = [(g.max_repeats or 0) * sum(b for _, b, _ in blocks[g.source]) for g in goals]
     weights = [Fraction(g.target_share or 0).limit_denominator(10**9) for g in goals]
-    quotas = sainte_lague(weights, sum(of.values()), [(g.max_repeats or 0) * of[g.source] for g in goals])
+    seats = round(total / block)
+    asked = sainte_lague(weights, seats, [seats] * len(goals))
+    if fit == "shares":
+        able = [w if blocks[g.source] else Fraction(0) for g, w in zip(goals, weights)]
+        quotas = sainte_lague(able, held_seats(able, caps, seats), caps)
+    else:
+        quotas = sainte_lague(weights, seats, caps)
+    beyond = [_asks_too_much(a, w, total, block, (g.max_repeats or 0) * sizes.get(g.source, 0), len(goals)) for a, w, g in zip(asked, weights, goals)]
     plan = []
     for g, quota in zip(goals, quotas):
-        own = blocks[g.source]
-        for (k, b), q in zip(own, sainte_lague([Fraction(b) for _, b in own], quota, [(g.max_repeats or 0) * b for _, b in own])):
-            plan.append((g.source, k, int(b), int(q)))
-    planned = spark.createDataFrame(plan, "source string, shard int, blocks int, quota int")
-    shard_sums = spark.createDataFrame([(r.source, r.shard, int(r.n)) for r in sums], "source string, shard int, shard_tokens bigint")
-    known = F.broadcast(planned.join(shard_sums, ["source", "shard"]))  # one row per shard, at most MAX_SHARDS and the targets
-    in_shard = Window.partitionBy("source", "shard").orderBy(order, "doc_id")
+        own, most = blocks[g.source], g.max_repeats or 0
+        for (k, b, n), q in zip(own, sainte_lague([Fraction(b) for _, b, _ in own], quota, [most * b for _, b, _ in own])):
+            plan.append((g.source, k, int(b), int(n), int(q)))
+    # one row per shard: at most MAX_SHARDS and one a target
+    known = broadcast_if_small(spark.createDataFrame(plan, "source string, shard int, blocks int, shard_tokens bigint, quota int"))
+    # documents stand in a seeded order, so that blocks in a row, from a seeded one on, are a seeded choice of blocks
+    in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
     middle = F.sum("n_tokens").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2
     drawn = placed.join(known, ["source", "shard"]).withColumn("middle", middle)
-    drawn = drawn.withColumn("block", F.least(F.floor(F.col("middle") * F.col("blocks") / F.col("shard_tokens")), F.col("blocks") - 1))
-    # a seeded permutation of the blocks of a shard: every documents' block is ranked by a hash, in the same window
-    by_block = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("shard"), F.col("block")), "block")
-    drawn = drawn.withColumn("rank", F.dense_rank().over(by_block))
-    extra = (F.col("rank") <= F.col("quota") % F.col("blocks")).cast("int")
+    at = F.least(F.floor(F.col("middle") * F.col("blocks") / F.col("shard_tokens")), F.col("blocks") - 1)
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("blocks"))
+    extra = (F.pmod(at + first, F.col("blocks")) < F.col("quota") % F.col("blocks")).cast("int")
     drawn = drawn.select("doc_id", "source", "n_tokens", (F.floor(F.col("quota") / F.col("blocks")) + extra).cast("int").alias("copies")).where("copies > 0")
     drawn_sums = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn_tokens"))
     whole = F.coalesce(drawn.agg(F.sum(F.col("n_tokens") * F.col("copies"))).scalar(), F.lit(0))
-    report = [(g.source, g.target_share, g.max_repeats, int(sizes.get(g.source, 0)), int(q), bool(w * total > (g.max_repeats or 0) * sizes.get(g.source, 0))) for g, q, w in zip(goals, quotas, weights)]
-    shares = spark.createDataFrame(report, "source string, target_share double, max_repeats int, n_tokens bigint, quota_blocks int, beyond_cap boolean")
-    shares = shares.join(F.broadcast(drawn_sums), "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
+    report = [(g.source, g.target_share, g.max_repeats, int(sizes.get(g.source, 0)), int(a), int(c), int(q), b) for g, a, c, q, b in zip(goals, asked, caps, quotas, beyond)]
+    shares = spark.createDataFrame(report, "source string, target_share double, max_repeats int, n_tokens bigint, asked_blocks int, cap_blocks int, quota_blocks int, beyond_cap boolean")
+    shares = shares.join(drawn_sums, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
     return Mix(drawn, shares.withColumn("reached_share", F.coalesce(F.try_divide(F.col("drawn_tokens"), whole), F.lit(0.0))))
+
+
+def _asks_too_much(asked: int, weight: Fraction, total: int, block: int, most: int, n: int) -> bool:
+    """Whether the blocks that the quotients give are more than the source's repeats hold; where the two are so near that
+    rounding to blocks decides, the tokens do."""
+    if abs(asked - Fraction(most, block)) <= 1 + n * weight:
+        return weight * total > most
+    return asked * block > most

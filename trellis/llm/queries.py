@@ -85,20 +85,38 @@ def p8_edited_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, EDITED_WORDS, EDITS)
 
 
-def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mix_targets"))
+def _mix(spark: SparkSession, d: str, fit: str) -> mixing.Mix:
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "source", "text", table(spark, d, "mix_targets"), fit=fit)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).rows
+    """The mix of the greatest total of which every source reaches its share within its cap."""
+    return _mix(spark, d, "shares").rows
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).shares
+    return _mix(spark, d, "shares").shares
+
+
+def p9_mix_total(spark: SparkSession, d: str) -> DataFrame:
+    """The mix that keeps the total: what a source lacks is taken from the others."""
+    return _mix(spark, d, "total").rows
+
+
+def p9_held(spark: SparkSession, d: str) -> DataFrame:
+    """(source, share_held, cap_held): whether the mix repeats no document too often and reaches each share within a hundredth,
+    and two documents beside, as documents are drawn whole."""
+    m = _mix(spark, d, "shares")
+    most = m.rows.groupBy("source").agg(F.max("copies").alias("most"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    rows = m.rows.agg(F.max("n_tokens").alias("longest"), F.sum(F.col("n_tokens") * F.col("copies")).alias("whole"))
+    slack = F.coalesce(rows.select(2 * F.col("longest") / F.col("whole")).scalar(), F.lit(0))
+    held = F.abs(F.col("reached_share") - F.col("target_share")) <= 0.01 + slack
+    return m.shares.join(most, "source", "left").select("source", held.alias("share_held"), ((F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("n", F.lit(0)) == F.coalesce("ids", F.lit(0)))).alias("cap_held"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).shares.where("beyond_cap").select("source")
+    """Sources to which the apportionment gives more blocks than their repeats hold."""
+    return _mix(spark, d, "total").shares.where("beyond_cap").select("source")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +134,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_shares, p9_found, p10_statistics, p10_counts, p10_found)
+    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_found)
 }
 
 _SEEN = """
@@ -144,6 +162,8 @@ SQL = {
       WITH sizes AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(length(d.text)), 0) AS n
         FROM mix_targets m LEFT JOIN documents d ON d.source = m.source GROUP BY m.source, m.target_share, m.max_repeats)
       SELECT source FROM sizes WHERE target_share * (SELECT sum(n) FROM sizes) > max_repeats * n""",
+    # every source of the targets has documents, so each can reach its share of some total
+    "p9_held": "SELECT source, source IN (SELECT source FROM documents) AS share_held, true AS cap_held FROM mix_targets",
     "p5_answers": f"{_KNOWN} SELECT req_id, seen, CASE WHEN NOT seen THEN next_id END AS next_id FROM ({_SEEN})",
     "p5_found": f"{_KNOWN} SELECT req_id FROM ({_SEEN}) WHERE seen",
     "p6_found": """
