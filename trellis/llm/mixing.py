@@ -13,10 +13,10 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trellis.session import broadcast_if_small, cut_lineage
+from trellis.session import BROADCAST_ROWS, cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published splitting pattern of the byte-level vocabulary.
@@ -100,6 +100,12 @@ class Mix:
         self.rows, self.shares = rows, shares
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table, broadcast if they are few."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def held_seats(weights: list[Fraction], caps: list[int], most: int) -> int:
     """The most seats, up to `most`, of which every entry can take what the quotients give it within its cap.
 
@@ -133,7 +139,7 @@ def mix(
     goals = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull()).orderBy("source").collect()
     spark = documents.sparkSession
     names = [g.source for g in goals]
-    wanted = broadcast_if_small(spark.createDataFrame([(n,) for n in names], "source string"))
+    wanted = _small(spark, [(n,) for n in names], "source string")
     inside = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).join(wanted, "source", "left_semi")
     counted = cut_lineage(token_counts(inside, "text", {"doc_id": "doc_id", "source": "source"}, path))
     sizes = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -142,8 +148,8 @@ def mix(
     # blocks so small that there are enough of them to tell the shares apart
     block = max(1, min(block_tokens, max(size, total) // LEAST_BLOCKS))
     per_shard = max(shard_tokens, -(-size // MAX_SHARDS))
-    n_shards = spark.createDataFrame([(s, max(1, round(n / per_shard))) for s, n in sizes.items()], "source string, shards int")
-    placed = counted.join(broadcast_if_small(n_shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")).drop("shards")
+    n_shards = _small(spark, [(s, max(1, round(n / per_shard))) for s, n in sizes.items()], "source string, shards int")
+    placed = counted.join(n_shards, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int")).drop("shards")
     sums = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).orderBy("source", "shard").collect()
     blocks: dict[str, list[tuple[int, int, int]]] = {n: [] for n in names}
     for r in sums:
@@ -165,7 +171,7 @@ def mix(
         for (k, b, n), q in zip(own, sainte_lague([Fraction(b) for _, b, _ in own], quota, [most * b for _, b, _ in own])):
             plan.append((g.source, k, int(b), int(n), int(q)))
     # one row per shard: at most MAX_SHARDS and one a target
-    known = broadcast_if_small(spark.createDataFrame(plan, "source string, shard int, blocks int, shard_tokens bigint, quota int"))
+    known = _small(spark, plan, "source string, shard int, blocks int, shard_tokens bigint, quota int")
     # documents stand in a seeded order, so that blocks in a row, from a seeded one on, are a seeded choice of blocks
     in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
     middle = F.sum("n_tokens").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2
