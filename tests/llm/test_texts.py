@@ -232,6 +232,23 @@ def test_statistics_of_a_small_text():
     assert got["top_ngram_share"] == pytest.approx(12 / 25)
 
 
+def test_joined_common_words_equal_held_ones(spark, rows):
+    docs = [(1, "en", SENTENCE), (2, "de", SENTENCE), (3, "xx", SENTENCE), (4, None, JUNK["list"]), (5, "en", None), (6, "de", "")]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    common = spark.createDataFrame([("en", w) for w in COMMON] + [("de", "der"), ("de", "und"), (None, "kid")], "lang string, word string")
+    held = quality.quality(df, "doc_id", "text", common, "lang")
+    assert rows(held) == rows(quality.quality(df, "doc_id", "text", common, "lang", held_words=3))
+    share = {r.doc_id: r.common_word_share for r in held.collect()}
+    assert share[1] == pytest.approx(8 / 13) and share[2] == 0 and share[3] == pytest.approx(9 / 13)
+
+
+def test_templates_are_no_prose(spark):
+    lines = "\n".join(f"Please accept the cookies on this page to read part {i} of the text now." for i in range(40))
+    df = spark.createDataFrame([(1, lines), (2, SENTENCE)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(df, "doc_id", "text", spark.createDataFrame([(w,) for w in COMMON], "word string")).collect()}
+    assert not got[1].is_prose and got[2].is_prose and got[1].top_ngram_share > 0.15 and got[2].top_4gram_share == 0
+
+
 def test_quality_with_nulls_empties_repeats_and_long_texts(spark):
     long = SENTENCE * 20_000
     docs = [(1, None), (2, ""), (3, " \n "), (4, "%%%"), (5, SENTENCE), (5, SENTENCE), (6, long), (7, "word" * 100_000), (None, SENTENCE)]

@@ -120,7 +120,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return quality.quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"), "lang")
 
 
 def p10_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +132,36 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where(~F.col("is_prose")).select("doc_id")
 
 
+def p10_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on texts of known layout, with the corpus's common words."""
+    docs = spark.createDataFrame([(n, t) for n, t, _ in LAYOUTS], "name string, text string")
+    return quality.quality(docs, "name", "text", table(spark, d, "common_words")).select(F.col("doc_id").alias("name"), "is_prose")
+
+
+_SENTENCE = "The drun of wood was in a troudrick for the kid and sool."
+#: (name, text, whether it is prose)
+LAYOUTS = [
+    ("plain", _SENTENCE, True),
+    ("wrapped", "The drun of wood was\nin a troudrick for the\nkid and sool. A stool of\nthe team was on jool.", True),
+    ("shouted", _SENTENCE.upper(), True),
+    ("bulleted sentences", f"- {_SENTENCE}\n- The team of wool was on the grist and in sool.", True),
+    ("cut off", "The drun of wood was in a troudrick for th", True),
+    ("wide gaps", _SENTENCE.replace(" ", "  "), True),
+    ("list", "- drun of wood\n- the kid\n- a sool for team\n- wool", False),
+    ("pairs", "drun of: wood\nthe kid: sool\nteam is: wool\nhames: the stool", False),
+    ("cells", '"the drun","4","a kid"\n"sool","-","for wood"\n"of team","7","wool"', False),
+    ("bars", "Drun | Wood | The Kid | Sool | Of Team | Wool", False),
+    ("repeated words", "niness sted " * 15, False),
+    ("repeated sentence", f"{_SENTENCE} " * 6, False),
+    ("template", "\n".join(f"Please take the cookies of this page to read part {i} of the text now." for i in range(40)), False),
+    ("numbers", "21657 238594 45 188857 0 22 1466 58 34 75515 910 38", False),
+    ("symbols", "{~c-bI%{=%== Il l%O#@I~b&e*d/@#~O$&e#e[@Icc%/aO|+b{<#", False),
+    ("empty", "", None),
+]
+
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_found)
+    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_layouts, p10_found)
 }
 
 _SEEN = """
@@ -156,6 +183,7 @@ _WINDOWS = lambda t, i: f"""(SELECT DISTINCT {i}, array_to_string(w[k : k + {LEA
 SQL = {
     "p10_counts": f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS('text')}) AS n_words,
       len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""",
+    "p10_layouts": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'CAST(NULL AS BOOLEAN)' if v is None else str(v).lower()})" for n, _, v in LAYOUTS) + ") t(name, is_prose)",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_WINDOWS('documents', 'doc_id')} d JOIN {_WINDOWS('eval_items', 'item_id')} e ON d.g = e.g",
     # sizes in characters: for these tables every usual unit puts the same sources beyond their caps
     "p9_found": """
