@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where the session names none (tests), make a local one."""
+    """Use the shared folder of spark.checkpoint.dir. Only a local session that names none (as in tests) gets one of its own,
+    which goes with the process; on a cluster, whose machines could not read it, that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trellis-checkpoint-"))
+    if named is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="trellis-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,7 +56,7 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def configure(builder):
-    """Settings for large inputs on a SparkSession builder: run-time re-planning, skewed joins, runtime filters, UTC."""
+    """Settings for large inputs on a SparkSession builder: run-time re-planning, skewed joins, runtime filters, UTC, checkpoints that go when nothing refers to them."""
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -49,6 +64,7 @@ def configure(builder):
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }.items():
         builder = builder.config(key, value)
     return builder
