@@ -35,6 +35,41 @@ def test_standard_error_is_what_is_measured(spark):
     assert abs(np.mean(z)) < 0.6 and 0.6 < np.std(z) < 1.4
 
 
+@pytest.mark.parametrize("m", [16, 256, 4096, 16384])
+def test_counts_of_many_items_at_any_number_of_rows(spark, m):
+    df = spark.range(400_000).select(F.lit("k").alias("k"), F.col("id").alias("v"))
+    r = sketches.estimate(sketches.sketch(df, {"k": F.col("k")}, [F.col("v")], m), ["k"], m).collect()[0]
+    assert abs(r.n_distinct - 400_000) <= 5 * r.std_error and r.std_error == pytest.approx(0.65 / math.sqrt(m) * 400_000, rel=0.3)
+
+
+def test_sketches_are_kept_and_read_again(spark, rows, tmp_path):
+    df = spark.range(3000).select((F.col("id") % 4).alias("day"), (F.col("id") % 900).alias("v"))
+    for day in range(4):
+        sketches.write(sketches.sketch(df.where(F.col("day") == day), {"day": F.col("day")}, [F.col("v")], 64), f"{tmp_path}/{day}", 64)
+    kept, m = sketches.read(spark, *[f"{tmp_path}/{day}" for day in range(4)])
+    assert m == 64 and rows(sketches.merge(kept, [])) == rows(sketches.sketch(df, {}, [F.col("v")], 64))
+    sketches.write(sketches.sketch(df, {"day": F.col("day")}, [F.col("v")], 128), f"{tmp_path}/other", 128)
+    with pytest.raises(ValueError):
+        sketches.read(spark, f"{tmp_path}/0", f"{tmp_path}/other")
+    with pytest.raises(ValueError):
+        sketches.estimate(kept, ["day"], 100)
+
+
+def test_several_counts_come_from_one_scan(spark):
+    data = [(i % 3, f"g{i % 2}", f"v{i % 40}", f"p{i % 7}") for i in range(500)] + [(None, "g0", None, "p0"), (1, None, "v1", None)]
+    df = spark.createDataFrame(data, "d int, g string, v string, p string")
+    counts = {"pairs": ([F.col("v"), F.col("p")], [(), ("g",), ("d", "g")]), "ones": ([F.col("v")], [(), ("d",)])}
+    out = sketches.distinct_counts(df, {"d": F.col("d"), "g": F.col("g")}, counts)
+    want: dict = {}
+    for d, g, v, p in data:
+        for name, item, sets in (("pairs", (v, p), [(), ("g",), ("d", "g")]), ("ones", (v,), [(), ("d",)])):
+            if None not in item:
+                for s in sets:
+                    want.setdefault((name, ",".join(s) or "all", d if "d" in s else None, g if "g" in s else None), set()).add(item)
+    got = {(r.counted, r.by, r.d, r.g): r for r in out.collect()}
+    assert set(got) == set(want) and all(got[k].low <= len(v) <= got[k].high for k, v in want.items())
+
+
 def test_partial_sketches_merge_in_any_order(spark, rows):
     df = spark.range(2000).select((F.col("id") % 5).alias("day"), (F.col("id") % 3).alias("g"), (F.col("id") % 700).cast("string").alias("v"))
     fine = sketches.sketch(df, {"day": F.col("day"), "g": F.col("g")}, [F.col("v")])
@@ -120,6 +155,29 @@ def test_frequent_values_among_many_rare_ones(spark):
             assert r.n_rows == counts[k] and abs(r.approx - r.n_rows) <= 6 * r.std_error + 1
 
 
+@pytest.mark.parametrize("memory, top", [(frequent.MEMORY, 0.8), (100_000, 0.8), (frequent.MEMORY, 0.02)])
+def test_small_shares_beside_a_value_with_most_rows(spark, memory, top):
+    """Recall of values of 0.1 % where one value, or none, makes the error of the counters great."""
+    n = 60_000
+    rare = [f"v{i}" for i in range(300) for _ in range(30 + i % 90)]
+    data = ["huge"] * int(top * n) + rare + [f"once{i}" for i in range(max(0, n - int(top * n) - len(rare)))]
+    random.Random(9).shuffle(data)
+    df = spark.createDataFrame([(x,) for x in data], "v string").repartition(3)
+    small = frequent.Shape(1 << 10)
+    got = {r.value: r.n_rows for r in frequent.frequent_values(df, ["v"], 0.001, small, memory).collect()}
+    assert got == {k: n for k, n in Counter(data).items() if n >= 0.001 * len(data)} and len(got) > 100
+
+
+def test_values_of_known_counts_leave_the_counters(spark):
+    shape, rng = frequent.Shape(1 << 8), np.random.default_rng(2)
+    h = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    counters = np.zeros(shape.total, dtype=np.int64)
+    shape.add(counters, np.repeat(h, 7))
+    shape.take_out(counters, h >> np.uint64(32), np.full(40, 7))
+    assert not counters.any()
+    assert frequent.Shape.for_share(1e-4).total * 8 < frequent.MEMORY / 2
+
+
 def test_frequent_ties_at_the_threshold_and_empty(spark):
     df = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d"] * 25], "v string")
     assert {r.value for r in frequent.frequent_values(df, ["v"], 0.25).collect()} == {"a", "b", "c", "d"}

@@ -5,6 +5,11 @@ counters are exact; the others are count-sketches of `depth` rows with signed ha
 rows into arrays of fixed size and ships the nonzero counters, which are summed per counter. Descending from the first
 level, the children of a prefix are looked at only if its count may reach the threshold; surviving leaves are the
 candidate hashes. A second scan counts the values behind them exactly.
+
+The width grows with 1 / share, not with its square: where a few heavy values make the standard error too great for the
+threshold, they are found first, counted exactly and taken out of the counters (sketches are linear), which leaves a smaller
+error to the rest. Where that does not suffice, or where counters would need more memory than is given, the values are divided
+by further bits of their hashes, and each part has a sketch and a scan of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = (8, 16, 24, 32)
+from trellis.session import parallelism
+
+LEVELS = (12, 22, 32)
+#: Bytes of counters that a task, or the driver, holds at once.
+MEMORY = 256 << 20
+#: Standard errors by which an estimate may fall short: a threshold must be twice as many.
+SIGMAS = 4
 
 
 def _mix(prefix: np.ndarray, level: int, row: int) -> np.ndarray:
@@ -37,11 +48,11 @@ class Shape:
     levels: tuple[int, ...] = LEVELS
 
     @staticmethod
-    def for_share(share: float, depth: int = 5, second_moment: float = 0.3) -> Shape:
-        """Counters wide enough that four standard errors of the median row stay under three quarters of the threshold,
-        while the squared shares of all values add up to at most second_moment."""
-        error = 0.75 * share / 4 / (1.2533 / math.sqrt(depth))
-        return Shape(1 << max(8, math.ceil(math.log2(second_moment / error**2))), depth)
+    def for_share(share: float, depth: int = 5) -> Shape:
+        """A width of which, once values above eight standard errors are out, the standard error is at most an eighth of the
+        threshold: then the squares of the shares that are left add up to at most eight standard errors."""
+        need = (2 * SIGMAS * 1.2533) ** 2 / depth / share
+        return Shape(1 << max(14, math.ceil(math.log2(need))), depth)
 
     def rows(self, level: int) -> int:
         return 1 if self.exact(level) else self.depth
@@ -92,23 +103,35 @@ class Shape:
         moments = [np.sum(counters[self.base(level, r) : self.base(level, r) + self.width].astype(float) ** 2) for r in range(self.depth)]
         return 1.2533 / math.sqrt(self.depth) * math.sqrt(np.median(moments) / self.width)
 
-    def descend(self, counters: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """(leaf prefixes that may reach the threshold, their estimates, standard error at the leaves)."""
-        kept, step = np.zeros(1, dtype=np.uint64), self.levels[0]
+    def worst_error(self, counters: np.ndarray) -> float:
+        return max(self.error(counters, level) for level in range(len(self.levels)))
+
+    def descend(self, counters: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf prefixes that may reach the threshold, their estimates): those that fall short by at most SIGMAS errors."""
+        kept = np.zeros(1, dtype=np.uint64)
         for level in range(len(self.levels)):
             step = self.levels[level] - (self.levels[level - 1] if level else 0)
             children = ((kept[:, None] << np.uint64(step)) | np.arange(1 << step, dtype=np.uint64)).ravel()
             got = self.read(counters, children, level)
-            error = self.error(counters, level)
-            keep = got >= max(threshold / 4, threshold - 4 * error)
+            keep = got >= max(1.0, threshold - SIGMAS * self.error(counters, level))
             kept, got = children[keep], got[keep]
-        return kept, got, error
+        return kept, got
+
+    def take_out(self, counters: np.ndarray, leaves: np.ndarray, n: np.ndarray) -> None:
+        """Remove values of known counts from the counters of every level."""
+        for level in range(len(self.levels)):
+            prefix = leaves >> np.uint64(self.levels[-1] - self.levels[level])
+            for row in range(self.rows(level)):
+                cell, sign = self.place(prefix, level, row)
+                np.subtract.at(counters, self.base(level, row) + cell, sign * n)
 
 
-def sketch_counters(df: DataFrame, columns: Sequence[str], shape: Shape) -> DataFrame:
+def sketch_counters(df: DataFrame, columns: Sequence[str], shape: Shape, parts: int = 1, part: int = 0) -> DataFrame:
     """(cell, n): nonzero counters of the sketches of the columns, one after the other, in one scan; cell -1 counts rows.
 
-    Partial sketches add by the same sum. NULLs are not counted.
+    Partial sketches add by the same sum. NULLs are not counted. Of `parts` (a power of two) divisions of the hashes only
+    `part` is counted. Tasks read several splits each where there are many, so that the number of sketches that are shipped
+    is bounded by the cluster and not by the input.
     """
     hashes = df.select(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(columns)])
 
@@ -118,14 +141,15 @@ def sketch_counters(df: DataFrame, columns: Sequence[str], shape: Shape) -> Data
         rows = waiting = 0
 
         def spend() -> None:
-            for i, parts in enumerate(held):
-                if parts:
-                    shape.add(counters[i], np.concatenate(parts))
-                    parts.clear()
+            for i, own in enumerate(held):
+                if own:
+                    shape.add(counters[i], np.concatenate(own))
+                    own.clear()
 
         for b in batches:
             for i in range(len(columns)):
-                held[i].append(b.column(i).drop_null().to_numpy().view(np.uint64))
+                h = b.column(i).drop_null().to_numpy().view(np.uint64)
+                held[i].append(h if parts == 1 else h[(h & np.uint64(parts - 1)) == np.uint64(part)])
             rows += b.num_rows
             waiting += b.num_rows
             if waiting >= 1 << 18:
@@ -134,33 +158,75 @@ def sketch_counters(df: DataFrame, columns: Sequence[str], shape: Shape) -> Data
         spend()
         flat = counters.ravel()
         at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(flat[at], rows))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(flat[at], rows))], names=["cell", "n"])
 
-    return hashes.mapInArrow(fold, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    tasks = 4 * parallelism(df.sparkSession)
+    return hashes.coalesce(tasks).mapInArrow(fold, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def frequent_values(df: DataFrame, columns: Sequence[str], share: float, shape: Shape | None = None) -> DataFrame:
-    """(fld, value, approx, std_error, n_rows): values of each column with at least `share` of all rows of df; NULL is no value.
-
-    approx and std_error are what the sketch says, n_rows is the exact count of the second scan. Columns must be strings.
-    The driver holds the counters, whose number depends on `share` and the number of columns alone, and at most a few
-    candidates per 1/share. A value at the threshold is missed only if its estimate falls four standard errors short at
-    some level. Empty tables give no row.
-    """
-    shape = shape or Shape.for_share(share)
-    spark = df.sparkSession
-    got = sketch_counters(df, columns, shape).toArrow()
+def _counters(df: DataFrame, columns: Sequence[str], shape: Shape, parts: int, part: int) -> tuple[np.ndarray, int]:
+    """Counters of all columns on the driver, and the number of rows."""
+    got = sketch_counters(df, columns, shape, parts, part).toArrow()
     cells, counts = got.column("cell").to_numpy(), got.column("n").to_numpy()
-    n_rows = int(counts[cells == -1].sum())
     flat = np.zeros(len(columns) * shape.total, dtype=np.int64)
     flat[cells[cells >= 0]] = counts[cells >= 0]
-    found = []
-    for name, counters in zip(columns, flat.reshape(len(columns), shape.total)):
-        leaves, estimates, error = shape.descend(counters, max(1.0, share * n_rows))
-        found += [(name, int(x), float(e), float(error)) for x, e in zip(leaves, estimates)]
-    candidates = spark.createDataFrame(found, "fld string, leaf bigint, approx double, std_error double")
+    return flat.reshape(len(columns), shape.total), int(counts[cells == -1].sum())
+
+
+def _values(df: DataFrame, columns: Sequence[str], shape: Shape) -> DataFrame:
+    """(fld, value, leaf) of every cell that is not NULL."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("value")) for c in columns]))
     values = df.select(each.alias("x")).select("x.fld", "x.value").where(F.col("value").isNotNull())
-    values = values.withColumn("leaf", F.shiftrightunsigned(F.xxhash64("value"), 64 - shape.levels[-1]))
-    counted = values.join(F.broadcast(candidates), ["fld", "leaf"]).groupBy("fld", "value", "approx", "std_error").agg(F.count(F.lit(1)).alias("n_rows"))
+    return values.withColumn("leaf", F.shiftrightunsigned(F.xxhash64("value"), 64 - shape.levels[-1]))
+
+
+def _candidates(df: DataFrame, columns: Sequence[str], threshold_share: float, shape: Shape, parts: int, part: int) -> tuple[list[tuple], int] | None:
+    """((fld, leaf, approx, std_error) of one division of the hashes, rows of df), or None if it has to be divided further."""
+    counters, n_rows = _counters(df, columns, shape, parts, part)
+    threshold = max(1.0, threshold_share * n_rows)
+    known: list[dict[int, tuple[float, float]]] = [{} for _ in columns]
+    while True:
+        asked: list[tuple[str, int]] = []
+        for name, own, had in zip(columns, counters, known):
+            error = shape.worst_error(own)
+            enough = 2 * SIGMAS * error <= threshold
+            leaves, estimates = shape.descend(own, threshold if enough else 2 * SIGMAS * error)
+            new = {int(x): (float(e), error) for x, e in zip(leaves, estimates) if int(x) not in had}
+            if not enough and not new:
+                return None
+            had.update(new)
+            asked += [(name, x) for x in new] if not enough else []
+        if not asked:
+            return [(name, x, *v) for name, had in zip(columns, known) for x, v in had.items()], n_rows
+        wanted = df.sparkSession.createDataFrame(asked, "fld string, leaf bigint")
+        exact = _values(df, columns, shape).join(F.broadcast(wanted), ["fld", "leaf"]).groupBy("fld", "leaf").agg(F.count_if((F.xxhash64("value").bitwiseAND(F.lit(parts - 1))) == part).alias("n")).collect()
+        for name, own in zip(columns, counters):
+            mine = [(r.leaf, r.n) for r in exact if r.fld == name]
+            shape.take_out(own, np.array([x for x, _ in mine], dtype=np.uint64), np.array([n for _, n in mine], dtype=np.int64))
+
+
+def frequent_values(df: DataFrame, columns: Sequence[str], share: float, shape: Shape | None = None, memory: int = MEMORY) -> DataFrame:
+    """(fld, value, approx, std_error, n_rows): values of each column with at least `share` of all rows of df; NULL is no value.
+
+    approx and std_error are what the sketch says, n_rows is the exact count of the last scan. Columns must be strings.
+    A task and the driver hold the counters, of at most `memory` bytes, and a few candidates per 1 / share. A value at the
+    threshold is missed only if its estimate falls four standard errors short at some level; no result is given by counters
+    whose error is more than an eighth of the threshold. Empty tables give no row.
+    """
+    shape, parts = shape or Shape.for_share(share), 1
+    while len(columns) * shape.total * 8 > memory and shape.width > 256:
+        shape, parts = Shape(shape.width // 2, shape.depth, shape.levels), parts * 2
+    spark = df.sparkSession
+    todo, found, n_rows = [(parts, k) for k in range(parts)], {}, 0
+    while todo:
+        n, part = todo.pop()
+        got = _candidates(df, columns, share, shape, n, part)
+        if got is None:
+            todo += [(4 * n, part + k * n) for k in range(4)]
+            continue
+        n_rows = got[1]
+        # a leaf that several divisions share is one candidate
+        found.update({(fld, leaf): (approx, error) for fld, leaf, approx, error in got[0] if approx > found.get((fld, leaf), (0,))[0]})
+    candidates = spark.createDataFrame([(*k, *v) for k, v in found.items()], "fld string, leaf bigint, approx double, std_error double")
+    counted = _values(df, columns, shape).join(F.broadcast(candidates), ["fld", "leaf"]).groupBy("fld", "value", "approx", "std_error").agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.where(F.col("n_rows") >= math.ceil(share * n_rows - 1e-9))

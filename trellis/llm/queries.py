@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import copies, frequent, leaks, mixing, quality, seen, sketches
-from trellis.session import table
+from trellis.session import shared_folder, table
 
 FREQUENT_SHARE = 0.01
 LEAK_WORDS = 10
@@ -19,16 +21,45 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
 
     Within one predicate pairs and subjects are the same number, so sets with the predicate read both off one sketch.
     """
+    return _distinct(table(spark, d, "quads"))
+
+
+def _sets(*keys: str) -> list[tuple[str, ...]]:
+    return [s for n in range(len(keys) + 1) for s in combinations(keys, n)]
+
+
+def _distinct(quads: DataFrame) -> DataFrame:
+    keys = {"day": F.to_date("asserted_at"), "graph": F.col("g"), "predicate": F.col("p")}
+    counts = {"pairs": ([F.col("s"), F.col("p")], _sets(*keys)), "subjects": ([F.col("s")], _sets("day", "graph"))}
+    got = sketches.distinct_counts(quads, keys, counts)
+    both = F.when(F.col("by").contains("predicate"), F.array(F.lit("pairs"), F.lit("subjects"))).otherwise(F.array("counted"))
+    return got.withColumn("counted", F.explode(both))
+
+
+def p4_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of subjects of every group, and whether the estimate lies within six standard errors and two of it."""
+    quads = table(spark, d, "quads")
+    est = _distinct(quads).where("counted = 'subjects'")
+    rows = quads.where("s IS NOT NULL AND p IS NOT NULL").select(F.to_date("asserted_at").alias("day"), F.col("g").alias("graph"), F.col("p").alias("predicate"), "s").distinct()
+    sets = [[F.col(k) for k in s] for s in _sets("day", "graph", "predicate")]
+    by = F.concat_ws(",", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in ("day", "graph", "predicate")])
+    exact = rows.groupingSets(sets, "day", "graph", "predicate").agg(F.count_distinct("s").alias("n"), by.alias("by"))
+    exact = exact.select(F.when(F.col("by") == "", "all").otherwise(F.col("by")).alias("by"), "day", "graph", "predicate", "n")
+    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("by", "day", "graph", "predicate")]
+    inside = F.abs(F.col("n_distinct") - F.col("n")) <= 6 * F.col("std_error") + 2
+    return exact.alias("x").join(est.alias("e"), on, "left").select("x.by", "x.day", "x.graph", "x.predicate", "n", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects per graph from sketches that were kept day by day, read again and merged."""
     quads = table(spark, d, "quads")
-    day, g, p = F.to_date("asserted_at").alias("day"), F.col("g"), F.col("p")
-    keys = {"day": day, "graph": g, "predicate": p}
-    every = [(), ("day",), ("graph",), ("day", "graph"), ("predicate",), ("day", "predicate"), ("graph", "predicate"), ("day", "graph", "predicate")]
-    pairs = sketches.distinct_by_sets(quads, keys, [F.col("s"), p], every)
-    both = F.when(F.col("by").contains("predicate"), F.array(F.lit("pairs"), F.lit("subjects"))).otherwise(F.array(F.lit("pairs")))
-    pairs = pairs.withColumn("counted", F.explode(both))
-    subjects = sketches.distinct_by_sets(quads, {"day": day, "graph": g}, [F.col("s")], every[:4])
-    subjects = subjects.withColumns({"predicate": F.lit(None).cast("string"), "counted": F.lit("subjects")})
-    return pairs.unionByName(subjects)
+    folder = shared_folder(spark, "sketches")
+    sketches.write(sketches.sketch(quads, {"day": F.to_date("asserted_at"), "graph": F.col("g")}, [F.col("s")]), folder)
+    kept, m = sketches.read(spark, folder)
+    got = sketches.estimate(sketches.merge(kept, ["graph"]), ["graph"], m)
+    exact = quads.groupBy(F.col("g").alias("graph")).agg(F.count_distinct("s").alias("n"))
+    inside = F.abs(F.col("n_distinct") - F.col("n")) <= 6 * F.col("std_error") + 2
+    return exact.alias("x").join(got.alias("e"), F.col("e.graph").eqNullSafe(F.col("x.graph")), "left").select("x.graph", "n", F.coalesce(inside, F.lit(False)).alias("inside"))
 
 
 def _earlier(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +91,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_frequent(spark, d).select("fld", "item")
 
 
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the verified count, and whether the sketch's count lies within six standard errors of it."""
+    near = F.abs(F.col("approx") - F.col("n_rows")) <= 6 * F.col("std_error") + 1
+    return p6_frequent(spark, d).select("fld", "item", "n_rows", near.alias("near"))
+
+
+def p6_tenth_percent(spark: SparkSession, d: str) -> DataFrame:
+    return frequent.frequent_values(table(spark, d, "quads"), ["o", "p"], 0.001).select("fld", F.col("value").alias("item"), "n_rows")
+
+
+def p6_hundredth_percent(spark: SparkSession, d: str) -> DataFrame:
+    return frequent.frequent_values(table(spark, d, "quads"), ["o", "p"], 0.0001).select("fld", F.col("value").alias("item"), "n_rows")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     triples = copies.copies(table(spark, d, "triples"), "t_id", ["p"], ["s", "o"])
     terms = copies.copies(table(spark, d, "terms"), "id", ["kind", "lang", "dt"], ["value"])
@@ -161,7 +206,7 @@ LAYOUTS = [
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_layouts, p10_found)
+    for f in (p4_distinct, p4_checked, p4_merged, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_counts, p6_tenth_percent, p6_hundredth_percent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_layouts, p10_found)
 }
 
 _SEEN = """
@@ -176,11 +221,22 @@ _GROUPED = f"""
   UNION ALL
   SELECT 'terms', id, min(id) OVER w, count(*) OVER w FROM terms WINDOW w AS (PARTITION BY kind, lang, dt, {_NORM('value')})"""
 
+_FREQUENT = lambda share, more="": " UNION ALL ".join(
+    f"SELECT '{c}' AS fld, {c} AS item, count(*) AS n_rows{more} FROM quads WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= {share} * (SELECT count(*) FROM quads)" for c in "op"
+)
+
 _WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 _WINDOWS = lambda t, i: f"""(SELECT DISTINCT {i}, array_to_string(w[k : k + {LEAK_WORDS - 1}], ' ') AS g
   FROM (SELECT {i}, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM (SELECT {i}, {_WORDS('text')} AS w FROM {t})))"""
 
 SQL = {
+    "p4_checked": """
+      SELECT CASE WHEN concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(graph) = 0 THEN 'graph' END, CASE WHEN grouping(predicate) = 0 THEN 'predicate' END) = '' THEN 'all'
+          ELSE concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(graph) = 0 THEN 'graph' END, CASE WHEN grouping(predicate) = 0 THEN 'predicate' END) END AS by,
+        day, graph, predicate, count(DISTINCT s) AS n, true AS inside
+      FROM (SELECT CAST(asserted_at AS DATE) AS day, g AS graph, p AS predicate, s FROM quads WHERE s IS NOT NULL AND p IS NOT NULL)
+      GROUP BY GROUPING SETS ((), (day), (graph), (predicate), (day, graph), (day, predicate), (graph, predicate), (day, graph, predicate))""",
+    "p4_merged": "SELECT g AS graph, count(DISTINCT s) AS n, true AS inside FROM quads GROUP BY g",
     "p10_counts": f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS('text')}) AS n_words,
       len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""",
     "p10_layouts": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'CAST(NULL AS BOOLEAN)' if v is None else str(v).lower()})" for n, _, v in LAYOUTS) + ") t(name, is_prose)",
@@ -198,6 +254,9 @@ SQL = {
       SELECT 'o' AS fld, o AS item FROM quads GROUP BY o HAVING count(*) >= 0.01 * (SELECT count(*) FROM quads) AND o IS NOT NULL
       UNION ALL
       SELECT 'p', p FROM quads GROUP BY p HAVING count(*) >= 0.01 * (SELECT count(*) FROM quads) AND p IS NOT NULL""",
+    "p6_counts": _FREQUENT(0.01, ", true AS near"),
+    "p6_tenth_percent": _FREQUENT(0.001),
+    "p6_hundredth_percent": _FREQUENT(0.0001),
     "p7_found": f"SELECT tbl, keep_id, id AS copy_id FROM ({_GROUPED}) WHERE id <> keep_id",
     "p7_records": f"SELECT tbl, id, n AS n_copies FROM ({_GROUPED}) WHERE id = keep_id",
 }
