@@ -199,7 +199,7 @@ def _candidates(df: DataFrame, columns: Sequence[str], threshold_share: float, s
         if not asked:
             return [(name, x, *v) for name, had in zip(columns, known) for x, v in had.items()], n_rows
         wanted = df.sparkSession.createDataFrame(asked, "fld string, leaf bigint")
-        exact = _values(df, columns, shape).join(F.broadcast(wanted), ["fld", "leaf"]).groupBy("fld", "leaf").agg(F.count_if((F.xxhash64("value").bitwiseAND(F.lit(parts - 1))) == part).alias("n")).collect()
+        exact = _values(df, list(dict.fromkeys(name for name, _ in asked)), shape).join(F.broadcast(wanted), ["fld", "leaf"]).groupBy("fld", "leaf").agg(F.count_if((F.xxhash64("value").bitwiseAND(F.lit(parts - 1))) == part).alias("n")).collect()
         for name, own in zip(columns, counters):
             mine = [(r.leaf, r.n) for r in exact if r.fld == name]
             shape.take_out(own, np.array([x for x, _ in mine], dtype=np.uint64), np.array([n for _, n in mine], dtype=np.int64))
