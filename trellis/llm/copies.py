@@ -43,7 +43,7 @@ def _sums(name: str, items: Column, seed: int) -> list[Column]:
     return [F.coalesce(F.size(items), F.lit(-1)), low, high]
 
 
-def fingerprints(df: DataFrame, ident: str, exact: list[str], loose: list[str]) -> DataFrame:
+def fingerprints(df: DataFrame, ident: str, exact: list[str], loose: list[str], seed: int = 1) -> DataFrame:
     """(id, f1, f2, exact, loose): a 128-bit fingerprint with what it stands for.
 
     `exact` columns must be identical (NULL equals NULL only), `loose` ones have equal fields (NULL equals NULL only; a
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, ident: str, exact: list[str], loose: list[str])
     base = df.select(F.col(ident).alias("id"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in exact]).alias("exact"), F.struct(F.lit(0).alias("_"), *[fields(F.col(c)).alias(c) for c in loose]).alias("loose"))
     flags = [x for c in exact for x in (F.col("exact")[c], F.col("exact")[c].isNull())]
     fp = lambda seed: F.xxhash64(F.lit(seed), *flags, *[x for c in loose for x in _sums(c, F.col("loose")[c], seed)])
-    return base.select("id", fp(1).alias("f1"), fp(2).alias("f2"), "exact", "loose")
+    return base.select("id", fp(seed).alias("f1"), fp(seed + 1).alias("f2"), "exact", "loose")
 
 
 def same_fields(a: Column, b: Column) -> Column:
@@ -67,38 +67,42 @@ def same_fields(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((F.size(a) == F.size(b)) & equal)
 
 
-def copies(df: DataFrame, ident: str, exact: list[str], loose: list[str]) -> DataFrame:
+def copies(df: DataFrame, ident: str, exact: list[str], loose: list[str], seed: int = 1) -> DataFrame:
     """(keep_id, copy_id): each record that equals one with a smaller id, with the smallest id of its group.
 
-    ids must be unique and not NULL. An empty table gives no row. Rows travel by fingerprint; groups so large that they
-    would fill a task are salted: the kept record is repeated per salt and the members are spread over them. Members
-    whose fields differ from the kept record's although the fingerprints agree are grouped among themselves by content.
+    ids must be unique and not NULL. An empty table gives no row. Groups are counted by fingerprint, with a map-side combine.
+    Then the rows travel once, by fingerprint, and meet the kept record of their group where they are; groups so large that
+    they would fill a task are salted: their rows are spread, and the kept record is repeated per salt. Rows whose fields
+    differ from the kept record's although the fingerprints agree are grouped among themselves under another seed.
     """
-    base = fingerprints(df, ident, exact, loose)
+    base = fingerprints(df, ident, exact, loose, seed)
     spark = df.sparkSession
-    share = max(10_000, df.count() // (4 * parallelism(spark)))
     groups = cut_lineage(base.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep_id")).where("n > 1"))
-    # at most one group per `share` rows of the table, 24 bytes each
-    hot = groups.where(F.col("n") > share).select("f1", "f2", F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    salted = base.join(F.broadcast(hot), ["f1", "f2"], "left").withColumn("salt", F.coalesce(F.expr("cast(pmod(xxhash64(id), salts) as int)"), F.lit(0)))
-    keep = groups.select("f1", "f2", "keep_id", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / share).cast("int"), F.lit(1)) - 1)).alias("salt"))
-    members = cut_lineage(salted.join(keep, ["f1", "f2", "salt"]))  # rows of groups only, read twice below
-    kept = members.where(F.col("id") == F.col("keep_id")).select("keep_id", F.col("exact").alias("keep_exact"), F.col("loose").alias("keep_loose"))
-    spread = keep.join(kept, "keep_id").select("f1", "f2", "salt", "keep_exact", "keep_loose")
+    share = max(10_000, groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (4 * parallelism(spark)))
+    salts = F.ceil(F.col("n") / share).cast("int")
+    # at most one group per `share` rows, 24 bytes each
+    hot = groups.where(F.col("n") > share).select("f1", "f2", salts.alias("salts"))
+    salt = lambda ident, salts: F.pmod(F.xxhash64(ident), salts).cast("int")
+    rows = base.join(F.broadcast(hot), ["f1", "f2"], "left").withColumn("salt", F.coalesce(salt("id", "salts"), F.lit(0))).drop("salts")
+    rows = rows.repartition("f1", "f2", "salt")
+    keys = groups.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), salt("keep_id", salts).alias("k_salt"), "keep_id", salts.alias("salts"))
+    meet = (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2")) & (F.col("salt") == F.col("k_salt"))
+    # not an equality, which would be a further key and have the rows shuffled again
+    is_kept = (F.col("id") >= F.col("keep_id")) & (F.col("id") <= F.col("keep_id"))
+    kept = rows.join(keys.hint("shuffle_hash"), meet & is_kept)
+    kept = kept.select("k1", "k2", "keep_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("k_salt"), F.col("exact").alias("keep_exact"), F.col("loose").alias("keep_loose"))
     same = F.lit(True)
     for c in exact:
         same = same & F.col("exact")[c].eqNullSafe(F.col("keep_exact")[c])
     for c in loose:
         same = same & same_fields(F.col("loose")[c], F.col("keep_loose")[c])
-    judged = cut_lineage(
-        members.where(F.col("id") != F.col("keep_id")).join(spread, ["f1", "f2", "salt"])
-        .select("keep_id", "id", "f1", "f2", same.alias("same"), F.when(~same, F.to_json(F.struct("exact", *[F.array_sort(F.col("loose")[c]).alias(c) for c in loose]))).alias("content"))
-    )
-    other = judged.where(~F.col("same"))
-    least = other.groupBy("f1", "f2", "content").agg(F.min("id").alias("keep_id"))
-    rest = other.drop("keep_id").join(least, ["f1", "f2", "content"]).where(F.col("id") != F.col("keep_id"))
-    pair = [F.col("keep_id"), F.col("id").alias("copy_id")]
-    return judged.where("same").select(*pair).unionByName(rest.select(*pair))
+    met = rows.join(kept.hint("shuffle_hash"), meet & (F.col("id") != F.col("keep_id")))
+    judged = cut_lineage(met.select("keep_id", F.col("id").alias("copy_id"), same.alias("same")))
+    out = judged.where("same").select("keep_id", "copy_id")
+    other = judged.where(~F.col("same")).select("copy_id")
+    if other.isEmpty():
+        return out
+    return out.unionByName(copies(df.join(other, df[ident] == other.copy_id, "left_semi"), ident, exact, loose, seed + 2))
 
 
 def collapsed(df: DataFrame, ident: str, exact: list[str], loose: list[str]) -> DataFrame:
