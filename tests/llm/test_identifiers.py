@@ -120,6 +120,35 @@ def test_verdicts_equal_the_exact_answer(spark):
     assert r.probes > 0 and r.probe_error_rate < 0.05
 
 
+def test_batches_against_a_kept_index_equal_one_pass(spark, tmp_path):
+    rnd = random.Random(4)
+    data = [(i, "hot" if rnd.random() < 0.35 else f"k{rnd.randrange(2000)}") for i in range(4000)]
+    known = [f"k{i}" for i in range(0, 2000, 5)] + ["other", "k0"]
+    path = f"{tmp_path}/index"
+    seen.SeenIndex.create(spark, path, spark.createDataFrame([(k,) for k in known] + [(None,)], "nt string"), fpp=0.05)
+    had, want, got, wrong = set(known), {}, {}, 0
+    for k in range(3):
+        batch = data[k::3]
+        for i, x in sorted(batch):
+            want[i] = x in had
+            had.add(x)
+        answers, report = seen.SeenIndex.open(spark, path).answer(_requests(spark, [*batch, (None, "k1"), (7_000, None)]).repartition(3), "req", "nt")
+        got.update({r["at"]: r.seen for r in answers.collect()})
+        wrong += report.collect()[0].wrong_answers
+    assert got == want and wrong > 0
+    index = seen.SeenIndex.open(spark, path)
+    assert spark.table(index.table).count() == len(known) + len(had - set(known)) and index.number == 4
+    plan = index._doubtful(spark.createDataFrame([("a", 1, True)], "key string, at long, all_maybe boolean"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_filters_merge(spark):
+    layout = seen.Layout(3, 500)
+    a, b = (spark.range(k, k + 600).select(F.col("id").cast("string")) for k in (0, 400))
+    both = {r.slot: r.words for r in seen.build_filters(a.union(b), layout).collect()}
+    assert {r.slot: r.words for r in seen.merge_filters(seen.build_filters(a, layout), seen.build_filters(b, layout)).collect()} == both and len(both) == 3
+
+
 def test_false_positive_rate_of_the_filter():
     rnd = np.random.default_rng(1)
     bloom = seen.BlockedBloom(100_000, 0.01)

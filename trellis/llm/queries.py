@@ -73,6 +73,22 @@ def p5_answers(spark: SparkSession, d: str) -> DataFrame:
     return requests.select("req_id", "next_id").join(answers.withColumnRenamed("at", "req_id"), "req_id").select("req_id", "seen", F.when(~F.col("seen"), F.col("next_id")).alias("next_id"))
 
 
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same answers given batch by batch from an index that is kept between them."""
+    requests = table(spark, d, "id_requests")
+    half = requests.agg(F.coalesce(F.percentile_approx("req_id", 0.5), F.lit(0))).first()[0]
+    folder = shared_folder(spark, "seen")
+    seen.SeenIndex.create(spark, folder, _earlier(spark, d))
+    parts = [seen.SeenIndex.open(spark, folder).answer(batch, "req_id", "nt")[0] for batch in (requests.where(F.col("req_id") <= half), requests.where(F.col("req_id") > half))]
+    return parts[0].unionByName(parts[1]).select(F.col("at").alias("req_id"), "seen")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """(n_requests, probes_held, answers_held): whether both error rates lie within four times what the filters are made for."""
+    r = seen.seen_before(table(spark, d, "id_requests"), "req_id", "nt", _earlier(spark, d))[1]
+    return r.select("n_requests", (F.col("probe_error_rate") <= 4 * seen.FPP).alias("probes_held"), (F.col("error_rate") <= 4 * seen.FPP).alias("answers_held"))
+
+
 def p5_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(table(spark, d, "id_requests"), "req_id", "nt", _earlier(spark, d))[1]
 
@@ -206,7 +222,7 @@ LAYOUTS = [
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_distinct, p4_checked, p4_merged, p5_answers, p5_error_rate, p5_found, p6_frequent, p6_counts, p6_tenth_percent, p6_hundredth_percent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_layouts, p10_found)
+    for f in (p4_distinct, p4_checked, p4_merged, p5_answers, p5_batches, p5_rates, p5_error_rate, p5_found, p6_frequent, p6_counts, p6_tenth_percent, p6_hundredth_percent, p6_found, p7_found, p7_records, p8_found, p8_edited_leaks, p9_mix, p9_mix_total, p9_shares, p9_held, p9_found, p10_statistics, p10_counts, p10_layouts, p10_found)
 }
 
 _SEEN = """
@@ -249,6 +265,8 @@ SQL = {
     # every source of the targets has documents, so each can reach its share of some total
     "p9_held": "SELECT source, source IN (SELECT source FROM documents) AS share_held, true AS cap_held FROM mix_targets",
     "p5_answers": f"{_KNOWN} SELECT req_id, seen, CASE WHEN NOT seen THEN next_id END AS next_id FROM ({_SEEN})",
+    "p5_batches": f"{_KNOWN} SELECT req_id, seen FROM ({_SEEN})",
+    "p5_rates": "SELECT count(*) AS n_requests, true AS probes_held, true AS answers_held FROM id_requests WHERE nt IS NOT NULL",
     "p5_found": f"{_KNOWN} SELECT req_id FROM ({_SEEN}) WHERE seen",
     "p6_found": """
       SELECT 'o' AS fld, o AS item FROM quads GROUP BY o HAVING count(*) >= 0.01 * (SELECT count(*) FROM quads) AND o IS NOT NULL

@@ -2,18 +2,25 @@
 
 A filter is an array of 256-bit blocks of eight 32-bit words; a key's hash picks a block and one bit in each word, so a
 query touches one cache line. Memory per task is the filter alone: bits_per_key(fpp) for each key of its partition.
+
+Filters are rows of a table, one per partition, so that they can be kept, merged and carried on: a batch of requests travels
+to the filters' partitions, the earlier keys stay where they are. SeenIndex keeps filters and keys on shared storage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.session import cut_lineage, parallelism
@@ -32,9 +39,11 @@ def bits_per_key(fpp: float) -> float:
 
 
 class BlockedBloom:
-    def __init__(self, keys: int, fpp: float = FPP):
+    def __init__(self, keys: int, fpp: float = FPP, words: bytes | None = None):
         self.blocks = max(1, math.ceil(max(1, keys) * bits_per_key(fpp) / 256))
         self.words = np.zeros((self.blocks, 8), dtype=np.uint32)
+        if words is not None:
+            self.words |= np.frombuffer(words, dtype=np.uint32).reshape(self.blocks, 8)
 
     def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = h.astype(np.uint64)
@@ -92,46 +101,100 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.append_column("lead", pa.array(lead))
 
 
-def bloom_verdicts(requests: DataFrame, at: str, key: str, earlier: DataFrame, fpp: float = FPP, per_partition: int = KEYS_PER_PARTITION) -> DataFrame:
-    """Rows (at, key, maybe, inserted, probes, wrong).
+@dataclass(frozen=True)
+class Layout:
+    """How keys are divided: the number of partitions, and the keys that the filter of each is made for."""
+
+    parts: int
+    capacity: int
+    fpp: float = FPP
+
+    @staticmethod
+    def of(spark: SparkSession, keys: int, fpp: float = FPP, per_partition: int = KEYS_PER_PARTITION) -> Layout:
+        """For so many distinct keys in all; partitions differ by chance, for which there is some room."""
+        parts = max(parallelism(spark), math.ceil(keys / per_partition))
+        mean = keys / parts
+        return Layout(parts, math.ceil(mean + 4 * math.sqrt(mean)) + 100, fpp)
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    """(key, h) of a one-column table; NULL is no key."""
+    return df.select(F.col(df.columns[0]).alias("key")).where(F.col("key").isNotNull()).select("key", F.xxhash64("key").alias("h"))
+
+
+def _slots(spark: SparkSession, parts: int) -> DataFrame:
+    """(h): for each partition a number that is sent to it."""
+    n = parts * (20 + math.ceil(math.log(parts + 1)))
+    return spark.range(n).groupBy(F.pmod(F.hash("id"), F.lit(parts))).agg(F.min("id").alias("h")).select("h")
+
+
+def build_filters(keys: DataFrame, layout: Layout) -> DataFrame:
+    """(slot, n_keys, words): the filter of each partition over a one-column table of keys; only hashes are shuffled."""
+    rows = _keys(keys).select("h", F.lit(False).alias("mark")).unionByName(_slots(keys.sparkSession, layout.parts).select("h", F.lit(True).alias("mark")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, n, slot = BlockedBloom(layout.capacity, layout.fpp), 0, 0
+        for b in batches:
+            h, mark = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            slot = int(h[mark][0]) if mark.any() else slot
+            n += int((~bloom.query_then_insert(h[~mark].view(np.uint64))).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([n], pa.int64()), pa.array([bloom.words.tobytes()], pa.binary())], names=["slot", "n_keys", "words"])
+
+    return rows.repartition(layout.parts, "h").mapInArrow(run, "slot bigint, n_keys bigint, words binary")
+
+
+def merge_filters(*filters: DataFrame) -> DataFrame:
+    """The filters of several sets of keys under one layout as one: words are united, n_keys adds up (an upper bound)."""
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        words = np.bitwise_or.reduce([np.frombuffer(w, dtype=np.uint32) for w in rows["words"]])
+        return pd.DataFrame({"slot": rows["slot"][:1], "n_keys": [int(rows["n_keys"].sum())], "words": [words.tobytes()]})
+
+    both = reduce(DataFrame.unionByName, filters)
+    return both.groupBy("slot").applyInPandas(unite, "slot bigint, n_keys bigint, words binary")
+
+
+def bloom_verdicts(requests: DataFrame, at: str, key: str, filters: DataFrame, layout: Layout) -> DataFrame:
+    """Rows (at, key, maybe, inserted, probes, wrong, slot, words).
 
     One row per request, with `maybe`: false is certain (the key is new), true is wrong at a rate of about fpp. One row
-    more per partition (at NULL) tells how many keys its filter holds, and how many of `probes` absent keys it took for
-    seen. `earlier` is a one-column table of keys that came before all requests; requests come in the order of `at`,
-    which must be unique. Requests with a NULL key or position are left out: they name no key.
+    more per partition (at NULL) has its filter with the requests' keys in it, and tells how many of them are new to it
+    and how many of `probes` absent keys it took for seen. `filters` hold the keys that came before all requests; requests
+    come in the order of `at`, which must be unique. Requests with a NULL key or position are left out: they name no key.
 
     A hot key is pre-aggregated before the shuffle: rows that follow another of the same key in their task are spread by
     position instead of by key.
     """
-    spark = requests.sparkSession
     reqs = requests.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(F.col(at).cast("bigint").alias("at"), F.col(key).alias("key"), F.xxhash64(key).alias("h"))
-    known = earlier.select(F.col(earlier.columns[0]).alias("key")).where(F.col("key").isNotNull())
-    n_keys = known.count() + reqs.count()
-    parts = max(parallelism(spark), math.ceil(n_keys / per_partition))
-    capacity = math.ceil(1.25 * n_keys / parts) + 1000
     reqs = reqs.mapInArrow(_leads, "at bigint, key string, h bigint, lead boolean")
-    rows = reqs.unionByName(known.select(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("key"), F.xxhash64("key").alias("h"), F.lit(True).alias("lead")))
-    slot = F.when(F.col("lead"), F.col("h")).otherwise(F.xxhash64("at"))
-    rows = rows.repartition(parts, slot).sortWithinPartitions(F.col("at").asc_nulls_first())
+    held = filters.select(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("key"), F.col("slot").alias("h"), F.lit(False).alias("lead"), "words")
+    rows = held.unionByName(reqs.withColumn("words", F.lit(None).cast("binary")))
+    place = F.when(F.col("lead") | F.col("words").isNotNull(), F.col("h")).otherwise(F.xxhash64("at"))
+    rows = rows.repartition(layout.parts, place).sortWithinPartitions(F.col("at").asc_nulls_first())
+    schema = pa.schema([("at", pa.int64()), ("key", pa.string()), ("maybe", pa.bool_()), ("inserted", pa.int64()), ("probes", pa.int64()), ("wrong", pa.int64()), ("slot", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, inserted = BlockedBloom(capacity, fpp), 0
-        schema = pa.schema([("at", pa.int64()), ("key", pa.string()), ("maybe", pa.bool_()), ("inserted", pa.int64()), ("probes", pa.int64()), ("wrong", pa.int64())])
+        bloom, inserted, slot = None, 0, None
         for b in batches:
+            if bloom is None and b.num_rows:  # the filter comes first
+                slot, bloom = b.column("h")[0].as_py(), BlockedBloom(layout.capacity, layout.fpp, b.column("words")[0].as_py())
+                b = b.slice(1)
             h = b.column("h").to_numpy().view(np.uint64)
             lead = b.column("lead").to_numpy(zero_copy_only=False)
             maybe = np.ones(len(h), dtype=bool)
-            maybe[lead] = bloom.query_then_insert(h[lead])
+            if len(h):
+                maybe[lead] = bloom.query_then_insert(h[lead])
             inserted += int((~maybe).sum())
-            none = pa.nulls(len(h), pa.int64())
-            out = pa.RecordBatch.from_arrays([b.column("at"), b.column("key").cast(pa.string()), pa.array(maybe), none, none, none], schema=schema)
-            yield out.filter(out.column("at").is_valid())
+            none = [pa.nulls(len(h), t) for t in schema.types[3:]]
+            yield pa.RecordBatch.from_arrays([b.column("at"), b.column("key").cast(pa.string()), pa.array(maybe), *none], schema=schema)
+        if bloom is None:
+            return
         ctx = TaskContext.get()
         probes = _absent(ctx.partitionId() if ctx else 0, PROBES_PER_PARTITION)
         wrong = int(bloom.query(probes).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, inserted, len(probes), wrong], schema.types)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, inserted, len(probes), wrong, slot, bloom.words.tobytes()], schema.types)], schema=schema)
 
-    return rows.mapInArrow(run, "at bigint, key string, maybe boolean, inserted bigint, probes bigint, wrong bigint")
+    return rows.mapInArrow(run, "at bigint, key string, maybe boolean, inserted bigint, probes bigint, wrong bigint, slot bigint, words binary")
 
 
 def false_positives(verdicts: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -146,20 +209,99 @@ def false_positives(verdicts: DataFrame, earlier: DataFrame) -> DataFrame:
     return keys.where(F.col("all_maybe")).join(known, "key", "left_anti").select("at")
 
 
-def seen_before(requests: DataFrame, at: str, key: str, earlier: DataFrame, fpp: float = FPP) -> tuple[DataFrame, DataFrame]:
-    """((at, maybe, seen) per request, (n_requests, inserted, probes, probe_error_rate, wrong_answers, error_rate)).
+def _distinct(*frames: DataFrame) -> int:
+    """About how many keys (h) there are among the frames, with some room for the error."""
+    got = reduce(DataFrame.unionByName, [f.select("h") for f in frames]).agg(F.approx_count_distinct("h", 0.02).alias("n")).first().n
+    return math.ceil(1.06 * got)
 
-    `maybe` is the filters' answer, `seen` the checked one; the second result has one row: the rate measured with absent
-    keys, and that of the answers given for the requests. Empty tables give no verdicts and zero counts.
-    """
-    verdicts = cut_lineage(bloom_verdicts(requests, at, key, earlier, fpp))
-    wrong = false_positives(verdicts, earlier).withColumn("wrong_one", F.lit(True))
-    asked = verdicts.where(F.col("at").isNotNull()).select("at", "maybe")
-    answers = asked.join(wrong, "at", "left").select("at", "maybe", (F.col("maybe") & F.col("wrong_one").isNull()).alias("seen"))
+
+def _report(verdicts: DataFrame, wrong: DataFrame) -> DataFrame:
     total = verdicts.agg(
         F.count("at").alias("n_requests"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"), F.coalesce(F.sum("probes"), F.lit(0)).alias("probes"),
         F.coalesce(F.try_divide(F.sum("wrong"), F.sum("probes")), F.lit(0.0)).alias("probe_error_rate"),
     )
     n_wrong = wrong.agg(F.count(F.lit(1))).scalar()
     total = total.withColumn("wrong_answers", n_wrong)
-    return answers, total.withColumn("error_rate", F.coalesce(F.try_divide("wrong_answers", "n_requests"), F.lit(0.0)))
+    return total.withColumn("error_rate", F.coalesce(F.try_divide("wrong_answers", "n_requests"), F.lit(0.0)))
+
+
+def _answers(verdicts: DataFrame, wrong: DataFrame) -> DataFrame:
+    asked = verdicts.where(F.col("at").isNotNull()).select("at", "maybe")
+    return asked.join(wrong.withColumn("wrong_one", F.lit(True)), "at", "left").select("at", "maybe", (F.col("maybe") & F.col("wrong_one").isNull()).alias("seen"))
+
+
+def seen_before(requests: DataFrame, at: str, key: str, earlier: DataFrame, fpp: float = FPP) -> tuple[DataFrame, DataFrame]:
+    """((at, maybe, seen) per request, (n_requests, inserted, probes, probe_error_rate, wrong_answers, error_rate)).
+
+    `maybe` is the filters' answer, `seen` the checked one; the second result has one row: the rate measured with absent
+    keys, and that of the answers given for the requests; inserted counts the requests' keys that were new. Empty tables
+    give no verdicts and zero counts.
+    """
+    layout = Layout.of(requests.sparkSession, _distinct(_keys(earlier), _keys(requests.select(key))), fpp)
+    verdicts = cut_lineage(bloom_verdicts(requests, at, key, build_filters(earlier, layout), layout).drop("slot", "words"))
+    wrong = false_positives(verdicts, earlier)
+    return _answers(verdicts, wrong), _report(verdicts, wrong)
+
+
+class SeenIndex:
+    """Filters and keys on shared storage, for one batch of requests after another.
+
+    A batch shuffles itself and the filters (about 14 bits a key at the usual rate), not the earlier keys. For the exact check
+    they are kept in buckets by hash, in which the batch's doubtful keys meet them without a shuffle of theirs. A batch is
+    an answer and a commit: its filters are written under the next number, which a reader takes up once it is complete.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, layout: Layout, number: int = 0):
+        self.spark, self.path, self.layout, self.number = spark, path.rstrip("/"), layout, number
+        self.table = "seen_" + hashlib.sha1(self.path.encode()).hexdigest()[:16]
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (h BIGINT, key STRING) USING parquet OPTIONS (path '{self.path}/keys') CLUSTERED BY (h) INTO {layout.parts} BUCKETS")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, keys: DataFrame, expected: int | None = None, fpp: float = FPP) -> SeenIndex:
+        """An index of a one-column table of keys, with room for `expected` distinct ones (twice those of the table)."""
+        layout = Layout.of(spark, expected or 2 * _distinct(_keys(keys)), fpp)
+        out = cls(spark, path, layout)
+        out._keep(_keys(keys))
+        out._write(build_filters(keys, layout))
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SeenIndex:
+        """The latest complete state of an index."""
+        state = spark.read.parquet(f"{path.rstrip('/')}/state").orderBy(F.desc("number")).first()
+        return cls(spark, path, Layout(state.parts, state.capacity, state.fpp), state.number)
+
+    def _keep(self, keys: DataFrame) -> None:
+        rows = keys.select("h", "key").repartition(self.layout.parts, "h")
+        rows.write.mode("append").format("parquet").bucketBy(self.layout.parts, "h").option("path", f"{self.path}/keys").saveAsTable(self.table)
+
+    def _write(self, filters: DataFrame) -> None:
+        n = self.number + 1
+        filters.write.mode("overwrite").parquet(f"{self.path}/filters-{n}")
+        x = self.layout
+        self.spark.createDataFrame([(n, x.parts, x.capacity, x.fpp)], "number int, parts int, capacity int, fpp double").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        self.number = n
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/filters-{self.number}")
+
+    def _doubtful(self, firsts: DataFrame) -> DataFrame:
+        """(at, key, h) of first requests that the filters took for seen although the index lacks their keys."""
+        asked = firsts.where("all_maybe").select("at", "key", F.xxhash64("key").alias("h"))
+        known = self.spark.table(self.table).select(F.col("h").alias("known_h"), F.col("key").alias("known"))
+        # joined by the bucketing hash alone: an equality of the keys would be a further join key and undo the buckets
+        same = (F.col("key") >= F.col("known")) & (F.col("key") <= F.col("known"))
+        return asked.join(known.hint("merge"), (F.col("h") == F.col("known_h")) & same, "left_anti")
+
+    def answer(self, requests: DataFrame, at: str, key: str) -> tuple[DataFrame, DataFrame]:
+        """The results of seen_before for a batch, after which its keys belong to the index. Positions order one batch."""
+        verdicts = cut_lineage(bloom_verdicts(requests, at, key, self.filters, self.layout))
+        fold = verdicts.where(F.col("at").isNotNull()).groupBy("key").agg(F.min("at").alias("at"), F.min("maybe").alias("all_maybe"))
+        wrong = cut_lineage(self._doubtful(fold))
+        answers, report = _answers(verdicts, wrong.select("at")), _report(verdicts, wrong)
+        answers, report = cut_lineage(answers), cut_lineage(report)
+        new = fold.where(~F.col("all_maybe")).select("key", F.xxhash64("key").alias("h"))
+        self._keep(new.unionByName(wrong.select("key", "h")))
+        self._write(verdicts.where(F.col("words").isNotNull()).select("slot", F.col("inserted").alias("n_keys"), "words"))
+        return answers, report
