@@ -84,3 +84,25 @@ def test_canonical_spellings_do_not_merge_different_numbers(spark):
         groups[v].add(t)
     assert groups[None] == {"--1", "1e3", ""} and groups["1"] == {"1", "01", "+1", "1.0", "1."} and groups["0.1"] == {"0.10", ".1"}
     assert groups["12345678901234567890123"] == {"12345678901234567890123", "012345678901234567890123"}
+
+
+def test_wide_groups_equal_one_table(spark, rows):
+    """More attributes than one group holds, of every range, with values that no decimal holds."""
+    kinds = list(wide.TYPES)
+    attrs = [wide.Attribute(i, f"<e#p{i}>", kinds[i % 5], f"p{i}") for i in range(260)]
+    texts = {"integer": ["-0012", "9" * 30, "9" * 30, "x"], "decimal": ["1.50", "0.00000000001", "2.5"], "date": ["2024-02-29", "0001-01-01", "2023-02-29"], "datetime": ["2024-01-01T10:00:00Z", "2024-01-01T10:00:00"], "boolean": ["1", "true", "0"]}
+    data = [(f"<s{k}>", f"<e#p{i}>", f'"{t}"') for i in (0, 1, 2, 3, 4, 107, 200, 259) for k, t in enumerate(texts[kinds[i % 5]])]
+    data += [("<all>", "<e#p0>", f'"{"9" * 40}"'), ("<all>", "<e#p0>", f'"0{"9" * 40}"'), ("<all>", "<e#p5>", f'"{"8" * 40}"'), ("<all>", "<e#p5>", f'"{"7" * 40}"'), ("<none>", "<other>", '"1"')]
+    df = spark.createDataFrame(data, "s string, p string, o string")
+    groups = wide.widen_groups(df, attrs, 100)
+    assert [len(g.columns) for g in groups] == [102, 102, 62]
+    got: dict = {}
+    for g in groups:
+        for r in g.collect():
+            cells = got.setdefault(r.s, {})
+            cells.update({k: v for k, v in r.asDict().items() if v is not None and k not in ("s", "failures")})
+            cells.update(r.failures)
+    few = [a for a in attrs if a.code in (0, 1, 2, 3, 4, 5, 107, 200, 259)]
+    want = {r.s: {**{k: v for k, v in r.asDict().items() if v is not None and k not in ("s", "failures")}, **r.failures} for r in wide.widen(df, few).collect()}
+    assert got == want and got["<none>"] == {}
+    assert got["<all>"] == {"<e#p0>": "out_of_range", "<e#p5>": "contradictory"} and str(got["<s0>"]["p2"]) == "2024-02-29" and str(got["<s1>"]["p2"]) == "0001-01-01"

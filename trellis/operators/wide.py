@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import terms as T
+from trellis.session import BROADCAST_ROWS, cut_lineage
 
 #: Spark type of each range.
 TYPES = {"integer": "bigint", "decimal": "decimal(38,10)", "date": "date", "datetime": "timestamp_ntz", "boolean": "boolean"}
-#: A wide table has at most this many columns; more attributes than that are an error, not a cut.
-MAX_ATTRIBUTES = 2000
+#: Columns of one group of a wide table that is made in groups.
+GROUP_COLUMNS = 1000
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,8 @@ class Attribute:
 
 
 def attributes(vocab: DataFrame) -> list[Attribute]:
-    """Single-valued typed predicates of a vocabulary table; raises beyond MAX_ATTRIBUTES."""
-    rows = (
-        vocab.where((F.col("max_card") == 1) & F.col("range_dt").isin(list(TYPES)))
-        .select("nt", "range_dt").distinct().orderBy("nt").limit(MAX_ATTRIBUTES + 1).collect()
-    )
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} single-valued predicates")
+    """Single-valued typed predicates of a vocabulary table: one column each, held by the driver."""
+    rows = vocab.where((F.col("max_card") == 1) & F.col("range_dt").isin(list(TYPES))).select("nt", "range_dt").distinct().orderBy("nt").collect()
     names: set[str] = {"s", "failures"}
     out = []
     for i, r in enumerate(rows):
@@ -77,54 +73,88 @@ def readable(term: Column, range_dt: Column) -> Column:
     return canonical(literal_text(term), range_dt)
 
 
-def entity_maps(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
-    """(s, cells): for each subject a map from attribute code to (value, n_read, n_rows).
+def _number(text: Column, range_dt: Column) -> Column:
+    """A canonical text as decimal(38,10), NULL if that cannot hold it; dates and times as their digits in a row."""
+    return (
+        F.when(range_dt.isin("integer", "decimal"), F.when(~text.rlike("\\.[0-9]{11}"), text.try_cast("decimal(38,10)")))
+        .when(range_dt.isin("date", "datetime"), F.regexp_replace(text, "[^0-9]", "").try_cast("decimal(38,10)"))
+        .when(range_dt == "boolean", (text == "true").cast("int").cast("decimal(38,10)"))
+    )
 
-    Rows are first folded per (subject, attribute) with a map-side combine into the least and greatest canonical value,
-    so a subject with a third of all rows shuffles one state per task and attribute; only then are the folded pairs, at
-    most one per attribute, gathered per subject. The predicate travels as a short code. Subjects without any of the
-    attributes get an empty map. NULL subjects are dropped; NULL predicates and objects count as no attribute and as
-    unreadable.
+
+def _typed(value: Column, range_dt: str) -> Column:
+    """The inverse, as the column's type; NULL where the value lies beyond it."""
+    if range_dt == "boolean":
+        return value == 1
+    if range_dt in ("integer", "decimal"):
+        return value.try_cast(TYPES[range_dt])
+    digits = F.lpad(value.cast("decimal(28,0)").cast("string"), 8 if range_dt == "date" else 14, "0")
+    form = ("(....)(..)(..)", "$1-$2-$3") if range_dt == "date" else ("(....)(..)(..)(..)(..)(..)", "$1-$2-$3T$4:$5:$6")
+    return F.regexp_replace(digits, *form).try_cast(TYPES[range_dt])
+
+
+def entity_maps(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
+    """(s, cells): for each subject a map from attribute code to (value, why).
+
+    Rows are first folded per (subject, attribute) with a map-side combine, so a subject with a third of all rows shuffles
+    one state per task and attribute; only then are the folded pairs, at most one per attribute, gathered per subject. A
+    state is numbers alone, which the hash aggregate can update in place: the least and greatest value as a decimal, and of
+    texts that no decimal(38,10) can hold those of a 64-bit hash, which serve to tell whether the texts of one cell differ.
+    value is the cell's one distinct value; why is NULL beside a value, else unreadable, contradictory or out_of_range.
+    Subjects without any of the attributes get an empty map. NULL subjects are dropped; NULL predicates and objects count as no
+    attribute and as unreadable.
     """
-    known = F.create_map(*[F.lit(x) for a in attrs for x in (a.predicate, a.code)]) if attrs else None
-    ranges = F.create_map(*[F.lit(x) for a in attrs for x in (a.code, a.range_dt)]) if attrs else None
-    code = F.try_element_at(known, F.col("p")) if attrs else F.lit(None).cast("int")
-    base = statements.where(F.col("s").isNotNull()).select("s", code.alias("c"), F.col("o"))
-    # the text is a column of its own, so that the branches below read it instead of working it out again
-    text = F.when(F.col("c").isNotNull(), literal_text(F.col("o")))
-    base = base.select("s", "c", text.alias("t"), (F.try_element_at(ranges, F.col("c")) if attrs else F.lit(None).cast("string")).alias("r"))
-    base = base.select("s", F.col("c").cast("smallint").alias("a"), canonical(F.col("t"), F.col("r")).alias("v"))
+    spark = statements.sparkSession
+    known = spark.createDataFrame([(a.predicate, a.code, a.range_dt) for a in attrs], "__p string, c int, r string")
+    known = F.broadcast(known) if len(attrs) <= BROADCAST_ROWS else known
+    base = statements.where(F.col("s").isNotNull()).select("s", "p", "o").join(known, F.col("p") == F.col("__p"), "left")
+    # each step is a column of its own, so that the next reads it instead of working it out again
+    base = base.select("s", "c", "r", F.when(F.col("c").isNotNull(), literal_text(F.col("o"))).alias("t"))
+    base = base.select("s", F.col("c").alias("a"), "r", canonical(F.col("t"), F.col("r")).alias("v"))
+    base = base.select("s", "a", "v", _number(F.col("v"), F.col("r")).alias("x"))
+    far = F.when(F.col("x").isNull() & F.col("v").isNotNull(), F.xxhash64("v"))
     folded = base.groupBy("s", "a").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n_read"), F.count(F.lit(1)).alias("n_rows")
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n_held"), F.min(far).alias("far_lo"), F.max(far).alias("far_hi"), F.count("v").alias("n_read")
     )
-    cell = F.struct("a", F.struct(F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"), "n_read", "n_rows"))
+    value = F.when((F.col("n_held") == F.col("n_read")) & (F.col("lo") == F.col("hi")), F.col("lo"))
+    why = (
+        F.when(F.col("n_read") == 0, "unreadable").when(value.isNotNull(), F.lit(None).cast("string"))
+        .when((F.col("n_held") == 0) & (F.col("far_lo") == F.col("far_hi")), "out_of_range").otherwise("contradictory")
+    )
+    cell = F.struct("a", F.struct(value.alias("value"), why.alias("why")))
     return folded.groupBy("s").agg(F.map_from_entries(F.collect_list(F.when(F.col("a").isNotNull(), cell))).alias("cells"))
 
 
-def widen(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
-    """One row per subject: s, a typed column per attribute, and `failures`.
-
-    failures maps the predicate of each cell that has rows but no value to unreadable (no object could be read),
-    contradictory (more than one distinct readable value) or out_of_range (read, but beyond the column's type, as decimals of
-    more than ten places are).
-    Repeated rows and different spellings of one value are one value. An empty table gives no row.
-    """
-    maps = entity_maps(statements, attrs)
+def project_cells(maps: DataFrame, attrs: list[Attribute]) -> DataFrame:
+    """The entities of entity_maps as rows of s, a typed column per attribute, and failures, for the given attributes."""
     cols, fails = [], []
     for a in attrs:
-        cell = F.try_element_at("cells", F.lit(a.code).cast("smallint"))
-        value = cell["value"]
-        typed = value.try_cast(TYPES[a.range_dt])
-        if a.range_dt == "decimal":  # a cast rounds what the scale cannot hold; canonical texts end in no zero
-            typed = F.when(~value.rlike("\\.[0-9]{11}"), typed)
-        why = (
-            F.when(cell.isNull(), F.lit(None))
-            .when(cell["n_read"] == 0, "unreadable")
-            .when(value.isNull(), "contradictory")
-            .when(typed.isNull(), "out_of_range")
-        )
+        cell = F.try_element_at("cells", F.lit(a.code))
+        typed = _typed(cell["value"], a.range_dt)
+        why = F.coalesce(cell["why"], F.when(cell["value"].isNotNull() & typed.isNull(), "out_of_range"))
         cols.append(typed.alias(a.column))
         fails.append(F.struct(F.lit(a.predicate).alias("k"), why.alias("v")))
     empty = F.expr("CAST(map() AS map<string,string>)")
     failures = F.map_from_entries(F.filter(F.array(*fails), lambda x: x["v"].isNotNull())) if fails else empty
     return maps.select("s", *cols, failures.alias("failures"))
+
+
+def widen(statements: DataFrame, attrs: list[Attribute]) -> DataFrame:
+    """One row per subject: s, a typed column per attribute, and `failures`.
+
+    failures maps the predicate of each cell that has rows but no value to unreadable (no object could be read),
+    contradictory (more than one distinct readable value) or out_of_range (read, but beyond the column's type, as decimals of
+    more than ten places are).
+    Repeated rows and different spellings of one value are one value. An empty table gives no row. Thousands of columns
+    are better made by widen_groups.
+    """
+    return project_cells(entity_maps(statements, attrs), attrs)
+
+
+def widen_groups(statements: DataFrame, attrs: list[Attribute], columns: int = GROUP_COLUMNS) -> list[DataFrame]:
+    """The wide table in groups of at most so many columns, each with s and the failures of its own attributes.
+
+    Every group has every subject. The entities' maps are made and written once.
+    """
+    maps = cut_lineage(entity_maps(statements, attrs))
+    return [project_cells(maps, attrs[i : i + columns]) for i in range(0, max(1, len(attrs)), columns)]

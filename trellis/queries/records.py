@@ -38,8 +38,8 @@ def p2_gids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    p = keyed.heavy_keys(p2_predicates(spark, d), "p", HEAVY_SHARE)
-    gid = keyed.heavy_keys(p2_gids(spark, d), "gid", HEAVY_SHARE)
+    p = keyed.heavy_keys(keyed.keyed_counts(table(spark, d, "quads"), "p"), "p", HEAVY_SHARE)
+    gid = keyed.heavy_keys(keyed.keyed_counts(table(spark, d, "gid_lookups"), "gid"), "gid", HEAVY_SHARE)
     return p.select(F.lit("p").alias("fld"), F.col("p").alias("item")).unionByName(
         gid.select(F.lit("gid").alias("fld"), F.col("gid").cast("string").alias("item"))
     )
