@@ -2,6 +2,7 @@
 
 import pytest
 from fixtures import FILTER, JOIN, PATTERN
+from pyspark.sql import functions as F
 
 from trellis.engine import Engine, EngineConfig, format_rows
 from trellis.functions import terms as T
@@ -139,9 +140,14 @@ def test_plan_of_a_statement_star_pushes_its_constants(open_store):
 
 
 def test_split_joins_equal_the_plain_condition(spark, rows, monkeypatch):
-    """Joins with unbound variables give the same rows whether they are split by what is bound or not."""
+    """Joins keyed by what is bound give the rows of the condition that compares every pair."""
     from trellis.plans import compile as C
 
+    def plain(self, left, right, loose, same, keys, match, how):
+        pairs = [(left.cols[v], right.cols[v]) for v in loose]
+        open_ = [(F.col(a.name) == F.col(b.name)) | F.col(a.name).isNull() | F.col(b.name).isNull() for a, b in pairs]
+        return C._joined(left.df, right.df, [*keys, *open_, *([match] if match is not None else [])], how)
+
     store = TripleStore.from_triples(spark, parse_turtle(" ".join(f'<s{i}> <p> <o{i % 3}> . <o{i % 3}> <q> "v{i % 2}" . <t{i}> <r> "v{i % 3}" ; <u> <o{i % 4}> .' for i in range(6))))
     texts = [
         "{ ?s <p> ?o OPTIONAL { ?o <q> ?v FILTER(?s != <s1>) } ?t <r> ?v }",
@@ -150,10 +156,23 @@ def test_split_joins_equal_the_plain_condition(spark, rows, monkeypatch):
         "{ { ?s <p> ?o } UNION { ?t <u> ?x } { ?t <r> ?v } UNION { ?s <p> ?y } }",
         "{ { ?s <p> ?o } UNION { ?t <u> ?x } OPTIONAL { { ?t <r> ?v } UNION { ?s <nothing> ?y } } }",
         "{ ?s <p> ?o OPTIONAL { ?s <nothing> ?n } OPTIONAL { ?n <nothing> ?m } }",
+        "{ { { ?s <p> ?o } UNION { ?t <u> ?x } UNION { ?t <r> ?v } } { { ?s <p> ?x } UNION { ?t <r> ?v } UNION { ?t <u> ?o } } }",
+        "{ ?s <p> ?o OPTIONAL { ?o <q> ?v } OPTIONAL { ?t <u> ?o } OPTIONAL { ?w <nothing> ?o } OPTIONAL { ?t <r> ?v OPTIONAL { ?w <p> ?o } } }",
     ]
     for text in texts:
         got = []
-        for most in (2, 0):
-            monkeypatch.setattr(C, "SPLIT_LOOSE", most)
+        for join in (C.Compiler._masked_join, plain):
+            monkeypatch.setattr(C.Compiler, "_masked_join", join)
             got.append(rows(Engine(store).sparql(text)))
         assert got[0] == got[1] and got[0], text
+
+
+def test_unbound_variables_need_no_product_and_few_joins(spark):
+    """Two optional variables on both sides, and three, are one equi-join where the patterns share a sure one."""
+    store = TripleStore.from_triples(spark, parse_turtle('<a> <p> <b> ; <q> "1" . <b> <q> "2" ; <r> "3" .'))
+    side = "{ ?s <p> ?o OPTIONAL { ?s <q> ?x } OPTIONAL { ?s <r> ?y } OPTIONAL { ?s <t> ?z } }"
+    for text, most in ((f"{{ {side} {side} }}", 9), (f"{{ {side} OPTIONAL {side} }}", 9)):
+        plan = Engine(store).sparql(text)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Cartesian" not in plan and "Join Cross" not in plan
+        assert plan.count("Join ") <= most
+        assert Engine(store).sparql(text).count() == 1

@@ -1,7 +1,6 @@
 """Operators on tables of bindings: one nullable string column per variable, NULL for unbound.
 
-These are the algebra's joins, unions and projections for frames made elsewhere; the compiler has its own, which know which
-variables are bound.
+These are the algebra's joins, unions and projections for frames made elsewhere, of which the caller says what may be unbound.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import terms as T
+from trellis.plans.compile import Compiler, Relation
 from trellis.session import cut_lineage
+from trellis.sources.store import Encoded
 
 
 def shared_variables(left: DataFrame, right: DataFrame) -> list[str]:
@@ -26,19 +27,14 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", may_be_u
     Variables of `may_be_unbound` also match where one side has NULL and take the other's value; the rest are an
     equi-join, in which NULL matches nothing. Columns: the left ones, then the new right ones.
     """
-    shared = shared_variables(left, right)
-    marked = right.select(*[F.col(c).alias(f"__r_{c}") if c in shared else F.col(c) for c in right.columns])
-    if hint:
-        marked = marked.hint(hint)
-    if not shared:
-        return left.crossJoin(marked) if how == "inner" else left.join(marked, F.lit(True), how)
-    conditions = []
-    for c in shared:
-        equal = F.col(c) == F.col(f"__r_{c}")
-        conditions.append(equal | F.col(c).isNull() | F.col(f"__r_{c}").isNull() if c in may_be_unbound else equal)
-    joined = left.join(marked, reduce(lambda a, b: a & b, conditions), how)
-    columns = [F.coalesce(c, f"__r_{c}").alias(c) if c in may_be_unbound else F.col(c) for c in left.columns]
-    return joined.select(*columns, *[c for c in right.columns if c not in shared])
+    compiler = Compiler(None)
+
+    def relation(df: DataFrame) -> Relation:
+        cols = {c: Encoded(compiler.fresh()) for c in df.columns}
+        return Relation(df.select(*[F.col(c).alias(e.name) for c, e in cols.items()]), cols, frozenset(c for c in cols if c not in may_be_unbound))
+
+    joined = compiler.join(relation(left), relation(right), how, hint=hint)
+    return joined.named([*left.columns, *[c for c in right.columns if c not in left.columns]])
 
 
 def left_join(left: DataFrame, right: DataFrame, may_be_unbound: Sequence[str] = ()) -> DataFrame:

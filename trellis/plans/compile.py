@@ -2,7 +2,7 @@
 
 Every scan gives its variables freshly numbered columns, so a self-join has no ambiguous name and SPARQL's case-sensitive
 variables meet no case-insensitive SQL one; names are put back at the end. Each relation knows which variables are surely
-bound: joins on those are equi-joins, and only a shared variable that may be unbound costs a null-compatible condition.
+bound: joins on those are plain equi-joins, and those with a shared variable that may be unbound are keyed by what is bound.
 """
 
 from __future__ import annotations
@@ -18,17 +18,13 @@ from pyspark.sql import functions as F
 from trellis.functions.exprs import ExprCompiler, Function
 from trellis.functions.terms import Term
 from trellis.plans.algebra import BGP, Expr, Filter, Graph, Group, Optional, Pattern, Query, Service, Triple, Union, Values
-from trellis.session import broadcast_if_small
+from trellis.session import broadcast_if_small, cut_lineage
 from trellis.sources.store import Encoded, TripleStore
 
 #: Join algorithms by the hint that asks Spark for them.
 HINTS = {"merge": "merge", "hash": "shuffle_hash", "nestedloop": "shuffle_replicate_nl", "broadcast": "broadcast"}
 
 
-#: Joins with up to so many shared variables that may be unbound are split by which of them are bound.
-SPLIT_LOOSE = 2
-
-
 def _joined(left: DataFrame, right: DataFrame, conditions: Sequence[Column], how: str) -> DataFrame:
     if conditions:
         return left.join(right, reduce(lambda a, b: a & b, conditions), how)
@@ -132,11 +128,8 @@ class Compiler:
         right_df = right.df.hint(HINTS[hint]) if hint else right.df
         if not loose:
             df = _joined(left.df, right_df, keys + ([match] if match is not None else []), how)
-        elif len(loose) <= SPLIT_LOOSE:
-            df = self._split_join(left, right, loose, keys, equal, match, how)
         else:
-            open_ = [equal(v) | F.col(left.cols[v].name).isNull() | F.col(right.cols[v].name).isNull() for v in loose]
-            df = _joined(left.df, right_df, keys + open_ + ([match] if match is not None else []), how)
+            df = self._masked_join(left, right, loose, same, keys, match, how)
         for v in loose:
             name = self.fresh()
             df = df.withColumn(name, self._either(left.cols[v], right.cols[v], same[v], raw=True))
@@ -151,38 +144,63 @@ class Compiler:
             return F.coalesce(F.col(a.name), F.col(b.name)) if same else F.coalesce(a.term(), b.term())
         return _Either(a, b)
 
-    def _split_join(self, left: Relation, right: Relation, loose: Sequence[str], keys, equal, match, how: str) -> DataFrame:
-        """Join with variables that may be unbound, without comparing every pair of rows.
+    def _masked_join(self, left: Relation, right: Relation, loose: Sequence[str], same: Mapping[str, bool], keys, match, how: str) -> DataFrame:
+        """Join with variables that may be unbound, as one equi-join whatever their number.
 
-        Rows are told apart by which of these variables they bind. Two such classes join on the variables that both bind,
-        an equi-join; only classes without a common bound variable are a product, and every row of that is a result. A left
-        join adds the left rows that no class of the right matches.
+        The mask of a row tells which of these variables it binds. Rows of two masks join on the variables that both bind,
+        so each row is offered under every mask that the other side can have, with the two masks and the values of the
+        common variables as its key. Only masks without a common variable, where no other key exists, are a product, and
+        every row of that is a result. A left join adds the left rows that nothing matches: as an outer join where every
+        left row has one key, else by the rows' numbers, for which the left side is written once.
         """
-        classes = list(itertools.product((True, False), repeat=len(loose)))
-
-        def part(r: Relation, bound) -> DataFrame:
-            tests = [F.col(r.cols[v].name).isNotNull() if b else F.col(r.cols[v].name).isNull() for v, b in zip(loose, bound) if v not in r.sure]
-            return r.df.where(reduce(lambda a, b: a & b, tests)) if tests else r.df
-
-        def possible(r: Relation):
-            return [c for c in classes if all(b or v not in r.sure for v, b in zip(loose, c))]
-
-        def conditions(a, b):
-            return keys + [equal(v) for v, x, y in zip(loose, a, b) if x and y] + ([match] if match is not None else [])
-
-        frames = []
-        for a in possible(left):
-            own = part(left, a)
-            alone = own
-            for b in possible(right):
-                other, on = part(right, b), conditions(a, b)
-                frames.append(_joined(own, other, on, "inner"))
-                if how == "left":
-                    alone = alone.join(other, reduce(lambda x, y: x & y, on), "left_anti") if on else alone.join(other.limit(1), F.lit(True), "left_anti")
-            if how == "left":
-                missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.df.schema.fields]
-                frames.append(alone.select("*", *missing))
-        return reduce(DataFrame.unionByName, frames)
+        ln, rn, lm, rm = self.fresh(), self.fresh(), self.fresh(), self.fresh()
+        bit = {v: 1 << i for i, v in enumerate(loose)}
+        names = {v: (self.fresh(), self.fresh()) for v in loose}
+
+        def possible(r: Relation) -> list[int]:
+            out = [0]
+            for v in loose:
+                out = [m | bit[v] for m in out] + ([] if v in r.sure else out)
+            return sorted(out)
+
+        def masked(r: Relation, name: str) -> DataFrame:
+            bits = [F.lit(bit[v]) if v in r.sure else F.when(F.col(r.cols[v].name).isNull(), 0).otherwise(bit[v]) for v in loose]
+            return r.df.withColumn(name, reduce(lambda a, b: a + b, bits))
+
+        def offered(df: DataFrame, r: Relation, own: str, other: str, masks: Sequence[int], side: int) -> DataFrame:
+            """Each row under the masks of the other side with which it has a key."""
+            out = df.withColumn(other, F.explode(F.array(*map(F.lit, masks))) if len(masks) > 1 else F.lit(masks[0]))
+            common = F.col(own).bitwiseAND(F.col(other))
+            out = out if keys else out.where(common != 0)
+            value = lambda v: F.col(r.cols[v].name) if same[v] else r.cols[v].term()
+            return out.withColumns({names[v][side]: F.when(common.bitwiseAND(F.lit(bit[v])) != 0, value(v)) for v in loose})
+
+        def trimmed(df: DataFrame, *more: str) -> DataFrame:
+            return df.select(*left.df.columns, *more, *right.df.columns)
+
+        l_masks, r_masks = possible(left), possible(right)
+        on = [F.col(lm) == F.col(ln), F.col(rm) == F.col(rn)] + [F.col(a).eqNullSafe(F.col(b)) for a, b in names.values()] + keys + ([match] if match is not None else [])
+        apart = [] if keys else [(a, b) for a in l_masks for b in r_masks if not a & b]
+        extra = [match] if match is not None else []
+        one_key = how == "left" and len(r_masks) == 1
+        number = self.fresh() if how == "left" and not one_key else None
+        first = masked(left, lm)
+        if number:
+            first = cut_lineage(first.withColumn(number, F.monotonically_increasing_id()))
+        second = masked(right, rn)
+        # the left rows carry (own mask lm, other's mask rm), the right ones (own mask rn, other's mask ln)
+        met = _joined(offered(first, left, lm, rm, r_masks, 0), offered(second, right, rn, ln, l_masks, 1), on, "left" if one_key else "inner")
+        more = [number] if number else []
+        frames = [trimmed(met, *more)]
+        for a, b in apart:
+            frames.append(trimmed(_joined(first.where(F.col(lm) == a), second.where(F.col(rn) == b), extra, "left" if one_key else "inner"), *more))
+        out = reduce(DataFrame.unionByName, frames)
+        if not number:
+            return out
+        matched = out.select(F.col(number).alias(f"{number}m")).distinct()
+        alone = first.join(matched, F.col(number) == F.col(f"{number}m"), "left_anti")
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.df.schema.fields]
+        return trimmed(out).unionByName(alone.select(*left.df.columns, *missing))
 
     def union(self, parts: Sequence[Relation]) -> Relation:
         """Bag union by variable; a variable that a part lacks is NULL in its rows."""
