@@ -166,3 +166,25 @@ def test_global_ids(spark):
     df = spark.createDataFrame([(i,) for i in (1, 16, 31, 400_000)], "id long")
     got = df.select("id", D.global_id(F.col("id"), 16).alias("g")).select("id", "g", D.local_id(F.col("g")).alias("l"), D.owner(F.col("g")).alias("r")).collect()
     assert all(r.l == r.id and r.r == r.id % 16 and r.g == (r.id % 16) << 48 | r.id for r in got)
+
+
+def test_layouts_and_statistics_that_are_stored(spark, rows, tmp_path):
+    text = " ".join(f"<s{i % 40}> <p{i % 7}> <o{i % 11}> ." for i in range(400)) + f" <{'x' * 400}> <{'long' * 100}> <o1> ."
+    plain = TripleStore.from_rows(spark.createDataFrame([tuple(t.split()[:3]) for t in text.split(" . ")], "s string, p string, o string"))
+    plain.write(str(tmp_path / "s"))
+    stored = TripleStore.read(spark, str(tmp_path / "s"))
+    assert set(stored.layouts) == {"SPO", "POS", "OSP"} and rows(stored.df.select("s", "p", "o")) == rows(plain.df)
+    x, y, z = var("x"), var("y"), var("z")
+    s, p, o = iri("s3"), iri("p3"), iri("o3")
+    patterns = [Triple(*t) for t in ((x, y, z), (s, y, z), (x, p, z), (x, y, o), (s, p, z), (s, y, o), (x, p, o), (s, p, o), (x, y, x), (x, iri("none"), z), (x, iri("long" * 100), y))]
+    assert [stored.layout(t) for t in patterns[:8]] == ["SPO", "SPO", "POS", "OSP", "SPO", "OSP", "POS", "SPO"]
+    assert stored.counts(patterns) == plain.counts(patterns)
+    for t in patterns:
+        assert rows(stored.match(t.s, t.p, t.o)) == rows(plain.match(t.s, t.p, t.o))
+        assert stored.contains(t.s, t.p, t.o) == plain.contains(t.s, t.p, t.o)
+    assert [r.x for r in stored.match_by(x, p, o, "POS").collect()] == [r.x for r in plain.match_by(x, p, o, "POS").collect()]
+    plan = stored.match(x, p, z)._jdf.queryExecution().executedPlan().toString()
+    assert "(bucket#" in plan and "EqualTo(p,<p3>)" in plan
+    TripleStore.from_rows(plain.df, orderings=["ops"]).write(str(tmp_path / "one"), statistics=False)
+    one = TripleStore.read(spark, str(tmp_path / "one"))
+    assert list(one.layouts) == ["OPS"] and one.counts(patterns) == plain.counts(patterns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.exprs import Function
@@ -22,13 +22,14 @@ class EngineConfig:
     """order: connected (textual, without jobs), greedy or dp (both count patterns first).
 
     join forces one algorithm (merge, hash, nestedloop, broadcast) on all joins; None leaves it to Spark, which switches
-    at run time. stars lets a store answer several patterns of a subject in one scan. bgp_executor replaces the evaluation
+    at run time. lexical_order sorts literals by their texts, numbers too. stars lets a store answer several patterns of a subject in one scan. bgp_executor replaces the evaluation
     of basic graph patterns: a function of (compiler, bgp, store) that gives a relation.
     """
 
     order: str = "connected"
     join: str | None = None
     value_equality: bool = False
+    lexical_order: bool = False
     stars: bool = True
     planner: P.Config = field(default_factory=P.Config)
     functions: dict[str, Function] = field(default_factory=dict)
@@ -59,7 +60,7 @@ class Engine:
         elif self.config.order != "connected":
             raise ValueError(f"unknown order {self.config.order}")
         c = self.config
-        return Compiler(self.store, self.sources, order, c.functions, c.value_equality, c.join, c.bgp_executor, c.stars and c.join is None)
+        return Compiler(self.store, self.sources, order, c.functions, c.value_equality, c.join, c.bgp_executor, c.stars and c.join is None, c.lexical_order)
 
     def sparql(self, text: str, bindings: Mapping[str, Term] | None = None) -> DataFrame:
         """Run a query text; bindings replace variables by terms first. Columns are variables, unbound is NULL."""
@@ -110,10 +111,15 @@ class Engine:
         return P.Planner(self.store, self.config.planner).optimize(bgp)
 
 
+def row_text(df: DataFrame) -> Column:
+    """A row in the form of format_rows."""
+    pairs = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in df.columns]
+    return F.concat(F.lit("{ "), F.concat_ws(", ", *pairs), F.lit(" }")).alias("value")
+
+
 def write_rows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Result rows as lines of text, written in parallel, in the form of format_rows."""
-    pairs = [F.concat(F.lit(f"{c}="), F.col(c)) for c in df.columns]
-    df.select(F.concat(F.lit("{ "), F.concat_ws(", ", *pairs), F.lit(" }")).alias("value")).write.mode(mode).text(path)
+    df.select(row_text(df)).write.mode(mode).text(path)
 
 
 def format_rows(df: DataFrame) -> list[str]:

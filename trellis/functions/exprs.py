@@ -74,13 +74,68 @@ class Value:
         return T.kind_rank(self.column)
 
 
+#: Lexical spaces of the types that a plain text can be cast to.
+_SPACES = {
+    "integer": "^[+-]?[0-9]+$",
+    "decimal": "^[+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)$",
+    "double": "^(?:[+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN)$",
+    "dateTime": "^-?[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?$",
+}
+
+
 def _casts() -> dict[str, Function]:
-    text = T.value_of
-    out: dict[str, Function] = {XSD + "string": lambda t: T.make_lit(text(t))}
-    for name, kind in (("integer", "decimal(38,0)"), ("decimal", "decimal(38,10)"), ("double", "double"), ("float", "float"), ("boolean", "boolean")):
-        out[XSD + name] = lambda t, name=name, kind=kind: T.make_lit(F.when(T.is_lit(t), text(t).try_cast(kind).cast("string")), XSD + name)
-    stamp = lambda t: F.replace(text(t).try_cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
-    out[XSD + "dateTime"] = lambda t: T.make_lit(F.when(T.is_lit(t), stamp(t)), XSD + "dateTime")
+    """The XPath constructor casts: a plain text must be in the type's lexical space, a number is converted (to an integer by
+    cutting its fraction off), a truth value is 1 or 0; anything else is an error. IRIs can be cast to strings only."""
+
+    def parts(t: Column):
+        dt, text = T.dt_of(t), F.btrim(T.value_of(t), F.lit(" \t\r\n"))
+        plain = T.is_lit(t) & T.lang_of(t).isNull() & (dt.isNull() | (dt == XSD + "string"))
+        numeric = dt.isin(T.NUMERIC) & text.rlike(_SPACES["double"])
+        return text, plain, numeric, dt == XSD + "boolean"
+
+    def truth(text: Column) -> Column:
+        return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+
+    def double(text: Column) -> Column:
+        return F.replace(text, F.lit("INF"), F.lit("Infinity")).try_cast("double")
+
+    def tidy(text: Column) -> Column:
+        """A decimal without trailing zeros."""
+        return F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+
+    def integer(t: Column) -> Column:
+        text, plain, numeric, boolean = parts(t)
+        number = text.try_cast("decimal(38,10)")
+        cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
+        whole = F.when(text.rlike(_SPACES["integer"]), text.try_cast("decimal(38,0)").cast("string"))
+        return F.when(plain, whole).when(numeric, F.coalesce(whole, cut.cast("string"))).when(boolean, truth(text).cast("int").cast("string"))
+
+    def decimal(t: Column) -> Column:
+        text, plain, numeric, boolean = parts(t)
+        number = tidy(text.try_cast("decimal(38,10)").cast("string"))
+        return F.when(plain, F.when(text.rlike(_SPACES["decimal"]), number)).when(numeric, number).when(boolean, truth(text).cast("int").cast("string"))
+
+    def floating(kind: str) -> Function:
+        def of(t: Column) -> Column:
+            text, plain, numeric, boolean = parts(t)
+            number = F.replace(double(text).cast(kind).cast("string"), F.lit("Infinity"), F.lit("INF"))
+            return F.when(plain & text.rlike(_SPACES["double"]) | numeric, number).when(boolean, truth(text).cast(kind).cast("string"))
+
+        return of
+
+    def boolean(t: Column) -> Column:
+        text, plain, numeric, is_boolean = parts(t)
+        number = double(text)
+        return F.when(plain | is_boolean, truth(text).cast("string")).when(numeric, ((number != 0) & ~F.isnan(number)).cast("string"))
+
+    def stamp(t: Column) -> Column:
+        text, plain, _, _ = parts(t)
+        read = F.replace(text.try_cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+        return F.when((plain | (T.dt_of(t) == XSD + "dateTime")) & text.rlike(_SPACES["dateTime"]), read)
+
+    made = {"integer": integer, "decimal": decimal, "double": floating("double"), "float": floating("float"), "boolean": boolean, "dateTime": stamp}
+    out: dict[str, Function] = {XSD + n: (lambda t, n=n, f=f: T.make_lit(f(t), XSD + n)) for n, f in made.items()}
+    out[XSD + "string"] = lambda t: T.make_lit(F.when(~T.is_bnode(t), T.value_of(t)))
     return out
 
 
@@ -88,10 +143,11 @@ class ExprCompiler:
     """Compiles against columns of variables; a variable without a column is unbound.
 
     value_equality makes `=` and `!=` compare numbers by value; the default compares kind and lexical value only.
+    lexical_order makes ORDER BY compare the texts of literals; the default compares numbers by value, before other literals.
     """
 
-    def __init__(self, env: Mapping[str, Encoded], functions: Mapping[str, Function] | None = None, value_equality: bool = False):
-        self.env, self.value_equality = env, value_equality
+    def __init__(self, env: Mapping[str, Encoded], functions: Mapping[str, Function] | None = None, value_equality: bool = False, lexical_order: bool = False):
+        self.env, self.value_equality, self.lexical_order = env, value_equality, lexical_order
         self.functions = {**_casts(), **(functions or {})}
 
     def condition(self, e: Expr) -> Column:
@@ -101,7 +157,11 @@ class ExprCompiler:
     def order_columns(self, e: Expr, ascending: bool) -> list[Column]:
         v = self.value(e)
         if v.kind == "term":
-            return T.order_keys(v.term(), ascending)
+            number = None if self.lexical_order else v.number()
+            keys = [v.rank(), v.text(), v.term()]
+            if number is not None:
+                keys[1:1] = [number.isNull(), number]
+            return [k.asc_nulls_first() if ascending else k.desc_nulls_last() for k in keys]
         return [v.column.asc_nulls_first() if ascending else v.column.desc_nulls_last()]
 
     def value(self, e: Expr) -> Value:
@@ -192,7 +252,9 @@ class ExprCompiler:
         text = v.text() if v.kind != "term" else F.when(T.is_lit(v.term()), v.text())
         pattern = self.value(e.args[1])
         flags = self.value(e.args[2]).const.value if len(e.args) > 2 else ""
-        head = f"(?{''.join(f for f in flags if f in 'imsx')})" if any(f in "imsx" for f in flags) else ""
+        if set(flags) - set("imsx"):
+            raise ValueError(f"unknown flags of a regular expression: {flags}")
+        head = f"(?{flags})" if flags else ""
         if pattern.const is not None:
             return Value("bool", text.rlike(head + pattern.const.value))
         return Value("bool", F.rlike(text, F.concat(F.lit(head), pattern.text())))

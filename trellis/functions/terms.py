@@ -192,12 +192,13 @@ def dt_of(t: Column | str) -> Column:
     return F.when(is_lit(t) & tail.startswith("^^<"), F.substr(tail, F.lit(4), F.length(tail) - F.lit(4)))
 
 
-_NUMERIC = [XSD + n for n in ("integer", "decimal", "float", "double", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
+#: Datatypes of numbers.
+NUMERIC = [XSD + n for n in ("integer", "decimal", "float", "double", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
 
 
 def num_of(t: Column | str) -> Column:
     """DOUBLE value of a numeric literal; NULL when the datatype is not numeric or the text cannot be read."""
-    return F.when(dt_of(t).isin(_NUMERIC), raw_text(t).try_cast("double"))
+    return F.when(dt_of(t).isin(NUMERIC), raw_text(t).try_cast("double"))
 
 
 def ebv_of(t: Column | str) -> Column:

@@ -28,9 +28,13 @@ def number_in_order(df: DataFrame, keys: Sequence, start: int = 1) -> DataFrame:
     """
     named = df.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
     order = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(keys))]
+    return number_rows(named.repartitionByRange(*order).sortWithinPartitions(*order).drop(*[f"__k{i}" for i in range(len(keys))]), start)
+
+
+def number_rows(df: DataFrame, start: int = 1) -> DataFrame:
+    """Add `id`, dense from start in the order that the rows stand in, as after a sort."""
     # the generated number holds the partition above its lower 33 bits and the row's place below
-    marked = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = cut_lineage(marked.drop(*[f"__k{i}" for i in range(len(keys))]))
+    placed = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("__part")).count()
     first = sizes.select("__part", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__first"))

@@ -257,7 +257,7 @@ class Values(Pattern):
 
 @dataclass(frozen=True)
 class Query:
-    """A pattern with its result form: select (names None is *), ask, construct or pattern (the bare `{...}` form)."""
+    """A pattern with its result form: select (names None is *), ask, construct, describe or pattern (the bare `{...}` form)."""
 
     pattern: Pattern
     form: str = "pattern"
@@ -269,6 +269,7 @@ class Query:
     template: tuple[Triple, ...] = ()
     graphs: tuple[Term, ...] = ()
     named_graphs: tuple[Term, ...] = ()
+    described: tuple[Term, ...] = ()
 
     def variables(self) -> list[str]:
         if self.names is not None:

@@ -61,7 +61,10 @@ class Relation:
             if e is None or e.dictionary is None:
                 continue
             name = f"{e.name}t"
-            pairs = broadcast_if_small(e.dictionary.select(F.col("id").alias(f"__{name}"), F.col("nt").alias(name)))
+            source = e.dictionary
+            if callable(source):  # a lookup of one's own is asked for the ids at hand
+                source = source(df.where(F.col(e.name).isNotNull()).select(F.col(e.name).alias("id")).distinct())
+            pairs = broadcast_if_small(source.select(F.col("id").alias(f"__{name}"), F.col("nt").alias(name)))
             df = df.join(pairs, F.col(e.name) == F.col(f"__{name}"), "left").drop(f"__{name}", e.name)
             cols[v] = Encoded(name)
         return replace(self, df=df, cols=cols)
@@ -84,10 +87,11 @@ class Compiler:
     def __init__(
         self, store: TripleStore, sources: Mapping[str, TripleStore] | None = None, order: Callable[[BGP, TripleStore], Sequence[Triple]] | None = None,
         functions: Mapping[str, Function] | None = None, value_equality: bool = False, hint: str | None = None, bgp_executor=None, stars: bool = True,
+        lexical_order: bool = False,
     ):
         self.store, self.sources, self.order = store, dict(sources or {}), order
         self.functions, self.value_equality, self.hint = functions, value_equality, hint
-        self.bgp_executor, self.stars = bgp_executor, stars
+        self.bgp_executor, self.stars, self.lexical_order = bgp_executor, stars, lexical_order
         self._n = itertools.count()
 
     def fresh(self) -> str:
@@ -306,25 +310,43 @@ class Compiler:
         r = self.pattern(q.pattern)
         if q.form == "ask":
             return r.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
-        if q.order or q.form == "construct":
+        if q.order or q.form in ("construct", "describe"):
             r = r.decoded()
         if q.order:
-            compiler = ExprCompiler(r.cols, self.functions, self.value_equality)
+            compiler = ExprCompiler(r.cols, self.functions, self.value_equality, self.lexical_order)
             r = replace(r, df=r.df.orderBy(*[c for e, up in q.order for c in compiler.order_columns(e, up)]))
         if q.form == "construct":
             return self._construct(q, r)
+        if q.form == "describe":
+            return self._describe(q, r)
         df = r.named(q.variables())
         if q.distinct:
             keep = df
             df = df.distinct()
             if q.order:
                 # DISTINCT loses an order; sort again by what is left of it
-                compiler = ExprCompiler({n: Encoded(n) for n in keep.columns}, self.functions, self.value_equality)
+                compiler = ExprCompiler({n: Encoded(n) for n in keep.columns}, self.functions, self.value_equality, self.lexical_order)
                 df = df.orderBy(*[c for e, up in q.order for c in compiler.order_columns(e, up)])
         if q.offset:
             df = df.offset(q.offset)
         return df.limit(q.limit) if q.limit is not None else df
 
+    def _describe(self, q: Query, r: Relation) -> DataFrame:
+        """(s, p, o): the triples whose subject is one of the named terms, or a value of the named variables (of all, for *)."""
+        chosen = q.described or tuple(Term("var", v) for v in r.cols if not v.startswith("\0"))
+        df = r.df.offset(q.offset) if q.offset else r.df
+        df = df.limit(q.limit) if q.limit is not None else df
+        found = [r.cols[t.value].term() for t in chosen if t.is_var and t.value in r.cols]
+        fixed = [F.lit(t.nt) for t in chosen if not t.is_var]
+        parts = [df.select(F.explode(F.array(*found)).alias("__d"))] if found else []
+        parts += [self.store.spark.range(1).select(F.explode(F.array(*fixed)).alias("__d"))] if fixed else []
+        if not parts:
+            return self.store.spark.createDataFrame([], "s string, p string, o string")
+        wanted = reduce(DataFrame.unionByName, parts).where(F.col("__d").isNotNull()).distinct()
+        names = [Term("var", x) for x in "spo"]
+        every = self.scan(Triple(*names), self.store).named(list("spo"))
+        return every.join(wanted, F.col("s") == F.col("__d"), "left_semi")
+
     def _construct(self, q: Query, r: Relation) -> DataFrame:
         """(s, p, o): the template for each row, without triples that have an unbound or misplaced term, each once.
 

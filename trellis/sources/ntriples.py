@@ -153,10 +153,19 @@ def rejects(read: DataFrame) -> DataFrame:
     return read.where(F.col("reason").isNotNull()).drop("s", "p", "o")
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, s, p, o, corrupt, reason) of every line of N-Triples files, which split by line."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    return read_permissive(lines, "value", ["file"])
+
+
 def read_ntriples(spark: SparkSession, path: str, skolemize: bool = False) -> DataFrame:
-    """Statements of N-Triples files; with skolemize, blank labels become unique per file. Files split by line."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    out = statements(read_permissive(lines, "value", ["file"]))
+    """Statements of N-Triples files, see named_apart; their other lines are those of rejects(read_files(...))."""
+    return named_apart(statements(read_files(spark, path)), skolemize)
+
+
+def named_apart(out: DataFrame, skolemize: bool = True) -> DataFrame:
+    """(s, p, o) of statements with their file; with skolemize, blank labels become unique per file."""
     if skolemize:
         named = lambda c: F.when(T.is_bnode(c), F.concat(F.lit("_:b"), F.hex(F.xxhash64("file")), F.lit("x"), F.substr(c, F.lit(3)))).otherwise(F.col(c))
         out = out.withColumns({"s": named("s"), "o": named("o")})

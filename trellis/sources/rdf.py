@@ -6,8 +6,10 @@ in parallel. Blank nodes are renamed by a hash of the file's path, so that label
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from trellis.functions.terms import RDF, Term, bnode, iri, lit
 from trellis.plans.algebra import Fresh, Triple
 from trellis.plans.parser import parse_turtle
-from trellis.sources.ntriples import read_ntriples, read_permissive, statements
+from trellis.sources.ntriples import named_apart, read_files, read_permissive, rejects, statements
 from trellis.sources.store import TripleStore
 
 XML = "http://www.w3.org/XML/1998/namespace"
@@ -113,15 +115,16 @@ def parse_rdfxml(text: str, base: str = "") -> list[Triple]:
     return reader.out
 
 
+_BEFORE_XML = re.compile(r"\A[\ufeff\s]*(?:<!--.*?-->\s*)*<(?:\?xml|!DOCTYPE|rdf:|[A-Za-z][\w.-]*(?::[\w.-]+)?(?:\s[^<>]*)?\sxmlns)", re.S)
+_TRIPLE_LINE = re.compile(r"^(?:<[^<>\s]*>|_:\S+)\s+<[^<>\s]*>\s+(?:<[^<>\s]*>|_:\S+|\".*\"\S*)\s*\.\s*(?:#.*)?$")
+
+
 def guess_syntax(text: str) -> str:
-    """rdfxml, turtle or ntriples, from the beginning of a document."""
-    head = text.lstrip("﻿ \t\r\n")
-    if head.startswith("<?xml") or head.startswith("<rdf:") or head.startswith("<!DOCTYPE"):
+    """rdfxml, turtle or ntriples: XML by its first tag, N-Triples if each line of the document is a triple or a comment."""
+    if _BEFORE_XML.match(text):
         return "rdfxml"
-    lines = [x.strip() for x in head[:5000].splitlines()]
-    lines = [x for x in lines[:-1] or lines if x and not x.startswith("#")]
-    simple = all(x.startswith(("<", "_:")) and x.endswith(".") and x.count("<") >= 1 and ";" not in x.split('"')[0] for x in lines[:20])
-    return "ntriples" if simple and lines else "turtle"
+    lines = [x for x in (x.strip() for x in text.lstrip("\ufeff").split("\n")) if x and not x.startswith("#")]
+    return "ntriples" if lines and all(_TRIPLE_LINE.match(x) for x in lines) else "turtle"
 
 
 def parse_document(text: str, base: str = "", syntax: str | None = None) -> list[Triple]:
@@ -139,24 +142,63 @@ def load_string(spark: SparkSession, text: str, base: str = "", syntax: str | No
 
 
 def read_documents(spark: SparkSession, path: str, syntax: str | None = None) -> DataFrame:
-    """(s, p, o) of Turtle or RDF/XML files, one task per file at most; a file that cannot be parsed fails the read."""
+    """(file, s, p, o, corrupt, reason) of Turtle or RDF/XML files, one task per file at most.
+
+    A file that cannot be parsed gives no triple and one row with its beginning in `corrupt` and the parser's words in
+    `reason`. A file is held in memory whole, so large exports should be N-Triples.
+    """
     import hashlib
 
+    names = ["file", "s", "p", "o", "corrupt", "reason"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 scope = hashlib.sha1(name.encode()).hexdigest()[:12]
-                triples = parse_document(content.decode("utf-8"), name, syntax)
-                cols = [[_skolem(getattr(t, c), scope).nt for t in triples] for c in "spo"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["s", "p", "o"])
+                try:
+                    triples = parse_document(content.decode("utf-8"), name, syntax)
+                except (ValueError, SyntaxError) as e:
+                    cols = [[name], [None], [None], [None], [content[:200].decode("utf-8", "replace")], [f"{type(e).__name__}: {e}"]]
+                else:
+                    terms = [[_skolem(getattr(t, c), scope).nt for t in triples] for c in "spo"]
+                    cols = [[name] * len(triples), *terms, [None] * len(triples), [None] * len(triples)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "s string, p string, o string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
-def load_files(spark: SparkSession, path: str, syntax: str | None = None) -> TripleStore:
-    """A store of RDF files. N-Triples (named so, or ending in .nt) is read by lines, the rest by whole files."""
+@dataclass(frozen=True)
+class Load:
+    """What RDF files hold: `rows` has one row per statement or failure (file, s, p, o, corrupt, reason)."""
+
+    rows: DataFrame
+    by_lines: bool
+
+    @property
+    def store(self) -> TripleStore:
+        found = statements(self.rows)
+        return TripleStore.from_rows(named_apart(found) if self.by_lines else found.select("s", "p", "o"))
+
+    @property
+    def rejects(self) -> DataFrame:
+        """(file, corrupt, reason): lines, or whole files, that could not be read."""
+        return rejects(self.rows)
+
+    def report(self) -> DataFrame:
+        """(file, n_statements, n_rejects), one row per file that holds either."""
+        counts = self.rows.groupBy("file").agg(F.count("s").alias("n_statements"), F.count("reason").alias("n_rejects"))
+        return counts.where("n_statements + n_rejects > 0")
+
+
+def load(spark: SparkSession, path: str, syntax: str | None = None) -> Load:
+    """Read RDF files. N-Triples (named so, or ending in .nt) is read by lines, the rest by whole files."""
     by_lines = syntax == "ntriples" or syntax is None and path.rstrip("/*").endswith(".nt")
-    return TripleStore.from_rows(read_ntriples(spark, path, skolemize=True) if by_lines else read_documents(spark, path, syntax))
+    return Load(read_files(spark, path) if by_lines else read_documents(spark, path, syntax), by_lines)
+
+
+def load_files(spark: SparkSession, path: str, syntax: str | None = None) -> TripleStore:
+    """The store of RDF files; what could not be read is told by load(...).rejects."""
+    return load(spark, path, syntax).store
 
 
 def statements_of_lines(lines: DataFrame, column: str) -> DataFrame:
@@ -164,9 +206,25 @@ def statements_of_lines(lines: DataFrame, column: str) -> DataFrame:
     return statements(read_permissive(lines, column, [])).select("s", "p", "o")
 
 
-def write_turtle(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lines of one subject with predicates joined by `;`. A subject is cut into up to 64 lines, so that a hot one stays small."""
-    pair = F.concat_ws(" ", "p", "o")
-    cut = triples.select("s", pair.alias("po"), F.pmod(F.xxhash64("p", "o"), F.lit(64)).alias("slice"))
-    lines = cut.groupBy("s", "slice").agg(F.concat_ws(" ; ", F.collect_list("po")).alias("po"))
-    lines.select(F.concat_ws(" ", "s", "po", F.lit("."))).write.mode(mode).text(path)
+def write_turtle(triples: DataFrame, path: str, mode: str = "errorifexists", per_line: int = 500) -> None:
+    """Lines of one subject with predicates joined by `;`, at most per_line of them a line.
+
+    A subject's triples are spread over tasks, and a task passes them on as they come, so a hot subject is many short lines.
+    """
+    pair = triples.select("s", F.concat_ws(" ", "p", "o").alias("po"), F.pmod(F.xxhash64("p", "o"), F.lit(16)).alias("slice"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, held = None, []
+        for b in batches:
+            out = []
+            for subject, po in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and (subject != s or len(held) >= per_line):
+                    out.append(f"{s} {' ; '.join(held)} .")
+                    held = []
+                s = subject
+                held.append(po)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{s} {' ; '.join(held)} ."], pa.string())], names=["value"])
+
+    pair.repartition("s", "slice").sortWithinPartitions("s").select("s", "po").mapInArrow(run, "value string").write.mode(mode).text(path)

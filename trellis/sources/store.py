@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,10 @@ QUAD_SCHEMA = SCHEMA + ", g string"
 ORDERINGS = ("SPO", "SOP", "POS", "PSO", "OSP", "OPS")
 #: Masks of the stored statistics: every set of one or two bound positions.
 MASKS = ("s", "p", "o", "sp", "so", "po")
+#: Permutations that are written: each set of bound positions is a leading part of one of them.
+LAYOUTS = ("SPO", "POS", "OSP")
+#: Folders of a layout, by a hash of its first position.
+BUCKETS = 32
 
 
 class Encoded:
@@ -32,7 +37,7 @@ class Encoded:
 
     def __init__(
         self, name: str, template: str | None = None, prefix: str = "", suffix: str = "", number: bool = False, text: bool = False,
-        dictionary: DataFrame | None = None,
+        dictionary: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     ):
         self.name, self.template, self.prefix, self.suffix, self.number, self.text = name, template, prefix, suffix, number, text
         self.dictionary = dictionary
@@ -190,48 +195,104 @@ class TripleStore:
 
     # ------------------------------------------------------------ files
 
-    def write(self, path: str, mode: str = "errorifexists", sort: str = "spo") -> None:
-        """Parquet by predicate, rows of a file in the given order, so that a pattern reads its predicate's files only.
+    def write(self, path: str, mode: str = "errorifexists", layouts: Sequence[str] | None = None, statistics: bool = True) -> None:
+        """Parquet in one or more layouts, a copy of the triples each, with counts for the planner.
 
-        Tasks are split by (predicate, subject), never by predicate alone: a predicate with a third of the triples is
-        written by all of them.
+        A layout is a permutation: rows are in its order over all files, so that bound leading positions skip files and row
+        groups by their ranges, and its first position is hashed into BUCKETS folders, whose number does not grow with the
+        data. Tasks are split by range, never by one position alone: a predicate with a third of the triples is written by
+        all of them. By default SPO, POS and OSP are written as far as the store has these orderings; each mask of
+        bound positions is then a leading part of one of them.
         """
-        df = self.df.withColumn("predicate", F.col("p"))
-        order = ["predicate", *[c for c in sort if c != "p"]]
+        chosen = [x.upper() for x in layouts] if layouts else [x for x in LAYOUTS if x in self._orderings] or list(self._orderings[:1])
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        df.write.mode(mode).partitionBy("predicate").parquet(os.path.join(path, "triples"))
-        manifest = json.dumps({"columns": self.columns, "orderings": list(self._orderings), "sort": sort})
+        for layout in chosen:
+            order = ["bucket", *layout.lower()]
+            df = self.df.select(*self.columns).withColumn("bucket", _bucket(F.col(layout[0].lower())))
+            df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode(mode).partitionBy("bucket").parquet(os.path.join(path, f"triples-{layout}"))
+        if statistics:
+            self.statistics().repartition("mask").write.mode(mode).partitionBy("mask").parquet(os.path.join(path, "statistics"))
+        manifest = json.dumps({"columns": self.columns, "orderings": list(self._orderings), "layouts": chosen, "statistics": statistics})
         self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode(mode).text(os.path.join(path, "manifest"))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TripleStore:
+        return StoredTriples(spark, path)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class StoredTriples(TripleStore):
+    """A written store. A pattern is read from the layout of which its bound positions are a leading part; patterns of one or
+    two bound positions are counted by the stored statistics."""
+
+    def __init__(self, spark: SparkSession, path: str):
         manifest = json.loads(spark.read.text(os.path.join(path, "manifest")).first()[0])
-        df = spark.read.parquet(os.path.join(path, "triples"))
-        return PartitionedStore(df, manifest["columns"], manifest["orderings"])
+        self.layouts = {x: spark.read.parquet(os.path.join(path, f"triples-{x}")).select(*manifest["columns"], "bucket") for x in manifest["layouts"]}
+        super().__init__(next(iter(self.layouts.values())), manifest["orderings"])
+        self._stored = spark.read.parquet(os.path.join(path, "statistics")) if manifest["statistics"] else None
+
+    def layout(self, t: Triple) -> str:
+        """The stored layout with the longest leading part of bound positions."""
+        bound = {k for k, x in zip("SPO", t.terms) if not x.is_var}
+        lead = lambda x: next((i for i, k in enumerate(x) if k not in bound), 3)
+        return max(self.layouts, key=lead)
+
+    def pattern_condition(self, t: Triple, layout: str | None = None) -> Column:
+        base, place = super().pattern_condition(t), dict(zip("SPO", t.terms))
+        first = place[(layout or next(iter(self.layouts)))[0]]
+        return base if first.is_var else base & (F.col("bucket") == self._bucket_of(first))
+
+    def _bucket_of(self, term: Term) -> Column:
+        return _bucket(F.lit(term.nt))
+
+    def _at(self, layout: str) -> TripleStore:
+        """This store with only one layout, which then is the one that is read."""
+        out = copy.copy(self)
+        out.layouts, out.df = {layout: self.layouts[layout]}, self.layouts[layout]
+        return out
 
+    def scan(self, t: Triple, name):
+        at = self._at(self.layout(t))
+        return TripleStore.scan(at, t, name)
 
-class PartitionedStore(TripleStore):
-    """A written store; a bound predicate prunes folders, and the same condition on p is kept for statistics."""
+    def match_by(self, s: Term, p: Term, o: Term, ordering: str) -> DataFrame:
+        """Through the stored layout of that name where there is one, which has few rows left to sort; else through the best."""
+        at = self._at(ordering) if ordering in self.layouts else self
+        return TripleStore.match_by(at, s, p, o, ordering)
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], orderings: Sequence[str] = ORDERINGS):
-        super().__init__(df.select(*columns, "predicate"), orderings)
+    def contains(self, s: Term, p: Term, o: Term) -> bool:
+        return TripleStore.contains(self._at(self.layout(Triple(s, p, o))), s, p, o)
 
-    def pattern_condition(self, t: Triple) -> Column:
-        base = super().pattern_condition(t)
-        return base if t.p.is_var else base & (F.col("predicate") == t.p.nt)
+    def counts(self, patterns: Sequence[Triple]) -> list[int]:
+        """As the plain store's, but from the statistics where these have the pattern: one job, which reads the files of its
+        masks and skips the row groups of other terms."""
+        asked: dict[tuple, tuple[str, Column]] = {}
+        for t in patterns:
+            mask = "".join(c for c, x in zip("spo", t.terms) if not x.is_var)
+            free = [x for x in t.terms[:3] if x.is_var]
+            if self._stored is not None and mask in MASKS and t.g is None and not self.has_graphs and len(set(free)) == len(free) and self._key(t) not in self._counts:
+                asked[self._key(t)] = mask, reduce(lambda a, b: a & b, [F.col(c) == x.nt for c, x in zip("spo", t.terms) if not x.is_var])
+        if asked:
+            rows = [self._stored.where((F.col("mask") == mask) & on).select(F.lit(i).alias("i"), "n") for i, (mask, on) in enumerate(asked.values())]
+            got = {r.i: r.n for r in reduce(DataFrame.unionByName, rows).collect()}
+            self._counts.update({k: got.get(i, 0) for i, k in enumerate(asked)})
+        return super().counts(patterns)
 
 
 class IdStore(TripleStore):
     """Triples of bigint ids with a dictionary (id, nt, ...): queries join on ids, terms come in where they are needed.
 
     Constants of a pattern are looked up once, a handful of rows; an unknown constant matches nothing. The compiler brings
-    terms in by joins with the dictionary before filters that read them and at the end of a query.
+    terms in by joins with the dictionary before filters that read them and at the end of a query. A lookup of one's own can
+    stand in for that: a function of a table of ids (id) that gives their terms (id, nt).
     """
 
-    def __init__(self, ids: DataFrame, terms: DataFrame, orderings: Sequence[str] = ORDERINGS):
+    def __init__(self, ids: DataFrame, terms: DataFrame, orderings: Sequence[str] = ORDERINGS, lookup: Callable[[DataFrame], DataFrame] | None = None):
         super().__init__(ids.select("s", "p", "o"), orderings)
-        self.terms = terms
+        self.terms, self.lookup = terms, lookup
         self._ids: dict[str, int] = {}
         self._template = f"id {id(self)}"
 
@@ -266,7 +327,7 @@ class IdStore(TripleStore):
         df, cols = super().scan(t, name)
         if t.g is not None:
             return df, cols
-        return df, {v: Encoded(e.name, self._template, dictionary=self.terms) for v, e in cols.items()}
+        return df, {v: Encoded(e.name, self._template, dictionary=self.lookup or self.terms) for v, e in cols.items()}
 
     def write(self, path: str, mode: str = "errorifexists", sort: str = "spo") -> None:
         """Parquet of ids, sorted by range, and of the dictionary, which other stores may share."""

@@ -7,6 +7,9 @@ state when `within` is given.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +19,35 @@ from trellis.sources.ntriples import read_permissive, statements
 from trellis.sources.store import Encoded, TripleStore
 
 
+def read_all_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """Stream of (s, p, o, corrupt, reason) for each line of N-Triples files that are put into a folder."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", "\n").text(path)
+    return read_permissive(lines, "value", [])
+
+
 def read_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Stream of (s, p, o) from a folder into which N-Triples files are put; invalid lines drop out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    return statements(read_permissive(lines, "value", []))
+    """Stream of the statements (s, p, o) alone."""
+    return statements(read_all_lines(spark, path, max_files))
+
+
+def load_batches(spark: SparkSession, source: str, target: str, on_batch: Callable[[int, int, int, float], None] | None = None, max_files: int = 100) -> None:
+    """Load what a folder holds in batches of files: statements and rejects (corrupt, reason) go to folders below target.
+
+    on_batch is called after each batch with its number, its statements, its rejects and its seconds. The progress is kept
+    below target, so that a load that was broken off goes on where it stopped, and a later one takes new files only. A batch
+    has a folder of its own, so that one that is done again replaces what it left before.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        began = time.perf_counter()
+        batch.where("s IS NOT NULL").select("s", "p", "o").write.mode("overwrite").parquet(f"{target}/statements/batch={number}")
+        batch.where("reason IS NOT NULL").select("corrupt", "reason").write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
+        if on_batch:
+            n, bad = (spark.read.parquet(f"{target}/{x}/batch={number}").count() for x in ("statements", "rejects"))
+            on_batch(number, n, bad, time.perf_counter() - began)
+
+    writer = read_all_lines(spark, source, max_files).writeStream.foreachBatch(store).option("checkpointLocation", f"{target}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def dedup(stream: DataFrame, time: str, delay: str) -> DataFrame:
