@@ -21,16 +21,16 @@ def test_triangles_and_loops_follow_from_every_edge(spark, rows, tmp_path):
     _trade_tables(spark, tmp_path, [(3, 3), (1, 2), (2, 4), (4, 1), (4, 2)])
     ring = [NATION.format(n) for n in (1, 2, 4)]
     loop = (NATION.format(3),) * 3
-    got = {tuple(r[c] for c in "pqr") for r in QUERIES["bgp_triangle_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r[c] for c in "pqr") for r in QUERIES["bgp_triangle"](spark, str(tmp_path)).collect()}
     assert got == {loop, *(tuple(ring[k:] + ring[:k]) for k in range(3))}
-    assert [r.x for r in QUERIES["scan_repeated_var_all"](spark, str(tmp_path)).collect()] == [NATION.format(3)]
+    assert [r.x for r in QUERIES["scan_repeated_var"](spark, str(tmp_path)).collect()] == [NATION.format(3)]
 
 
 def test_accessors_read_escaped_terms_too(spark, tmp_path):
     texts = ["plain", "a\\tb\nc\r\n", 'q"\\', "é\\u0041"]
     terms = [lit(texts[0]), lit(texts[1], lang="de"), lit(texts[2], dt="http://e/t"), lit(texts[3])]
     spark.createDataFrame([(i, t.nt) for i, t in enumerate(terms)], "id long, nt string").write.parquet(f"{tmp_path}/terms.parquet")
-    got = sorted(tuple(r[c] for c in ("id", "rank", "kind", "value", "lang", "dt")) for r in QUERIES["term_accessors_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r[c] for c in ("id", "rank", "kind", "value", "lang", "dt")) for r in QUERIES["term_accessors"](spark, str(tmp_path)).collect())
     assert got == [(i, 2, "lit", t.value, t.lang, t.dt) for i, t in enumerate(terms)]
 
 
@@ -40,7 +40,7 @@ def test_the_engine_orders_every_row(spark, tmp_path):
     spark.createDataFrame(data, "s string, p string, o string, g string").repartition(5).write.parquet(f"{tmp_path}/quads.parquet")
     key = lambda t: (*parse_term(t).order_key, t)
     want = sorted(((s, o) for s, _, o, _ in data), key=lambda r: (key(r[1]), key(r[0])))
-    assert [(r.x, r.y) for r in QUERIES["order_by_terms_all"](spark, str(tmp_path)).collect()] == want
+    assert [(r.x, r.y) for r in QUERIES["order_by_terms"](spark, str(tmp_path)).collect()] == want
 
 
 def test_every_cell_of_a_document_is_a_triple(spark, tmp_path):

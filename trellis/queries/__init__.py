@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.queries import graph, records
+from trellis.queries import graph, positions, records
 
-QUERIES = {**graph.QUERIES, **records.QUERIES}
-SQL = {**graph.SQL, **records.SQL}
+QUERIES = {**graph.QUERIES, **positions.QUERIES, **records.QUERIES}
+SQL = {**graph.SQL, **positions.SQL, **records.SQL}
