@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.queries import graph, positions, records
+from trellis.queries import files, graph, plans, positions, records
 
-QUERIES = {**graph.QUERIES, **positions.QUERIES, **records.QUERIES}
-SQL = {**graph.SQL, **positions.SQL, **records.SQL}
+QUERIES = {**graph.QUERIES, **files.QUERIES, **plans.QUERIES, **positions.QUERIES, **records.QUERIES}
+SQL = {**graph.SQL, **files.SQL, **plans.SQL, **positions.SQL, **records.SQL}

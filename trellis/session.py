@@ -46,6 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def through_table(df: DataFrame, name: str) -> DataFrame:
+    """The same by a Parquet table in the shared folder: what is read several times is made once, and read by columns."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that df has at most `rows` rows; else leave the join to the optimizer."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

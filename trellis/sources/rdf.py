@@ -20,6 +20,7 @@ from trellis.functions.terms import RDF, Term, bnode, iri, lit
 from trellis.plans.algebra import Fresh, Triple
 from trellis.plans.parser import parse_turtle
 from trellis.sources.ntriples import named_apart, read_files, read_permissive, rejects, statements
+from trellis.session import through_table
 from trellis.sources.store import TripleStore
 
 XML = "http://www.w3.org/XML/1998/namespace"
@@ -191,9 +192,13 @@ class Load:
 
 
 def load(spark: SparkSession, path: str, syntax: str | None = None) -> Load:
-    """Read RDF files. N-Triples (named so, or ending in .nt) is read by lines, the rest by whole files."""
+    """Read RDF files. N-Triples (named so, or ending in .nt) is read by lines, the rest by whole files.
+
+    What is read is written to the shared folder once; store, rejects and report come from there.
+    """
     by_lines = syntax == "ntriples" or syntax is None and path.rstrip("/*").endswith(".nt")
-    return Load(read_files(spark, path) if by_lines else read_documents(spark, path, syntax), by_lines)
+    rows = read_files(spark, path) if by_lines else read_documents(spark, path, syntax)
+    return Load(through_table(rows, "load"), by_lines)
 
 
 def load_files(spark: SparkSession, path: str, syntax: str | None = None) -> TripleStore:
