@@ -9,6 +9,8 @@ characters that an IRI may (code points) or may not (letters) hold, after which
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,29 +88,70 @@ def valid_lexical(text: Column, dt: Column) -> Column:
     return ok
 
 
-def _reason(raw: str, masked: str) -> Column:
-    """Why a corrupt line is no statement: quoting first, then the number of terms, then the terms themselves."""
-    m = F.col(masked)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _struct(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def _reason(x: Column) -> Column:
+    """Why a corrupt line (raw, masked) is no statement: quoting first, then the number of terms, then the terms themselves."""
+    m = x["masked"]
+    words = lambda text: F.split(F.trim(F.regexp_replace(text, "[ \\t]+", " ")), " ")
     # literals and IRIs out of the way; what is left tells the shape
     bare = F.regexp_replace(F.regexp_replace(m, '"[^"]*"[^ \\t."]*', "L"), '<[^<>"]*>', "I")
-    cut = F.regexp_replace(bare, "[ \\t\\r]+(?:#.*)?$", "")
-    body = F.regexp_replace(cut, "[ \\t]*\\.[ \\t]*(?:#.*)?$", "")
-    n = F.size(F.split(F.trim(F.regexp_replace(body, "[ \\t]+", " ")), " "))
-    tokens = F.split(F.trim(F.regexp_replace(m, "[ \\t]+", " ")), " ")
-    first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
-    return (
-        F.when(F.col(raw).isNull(), "missing_line")
-        .when(F.instr(bare, '"') > 0, "unbalanced_quote")
-        .when(F.instr(bare, "<") > 0, "unclosed_iri")
-        .when((n == 3) & (cut == body), "missing_stop")
-        .when(n < 3, "too_few_terms")
-        .when(n > 3, "too_many_terms")
-        .when(F.instr(m, "\\") > 0, "bad_escape")
-        .when(~first.rlike(f"^(?:{IRI}|{BNODE})$"), "bad_subject")
-        .when(~second.rlike(f"^{IRI}$"), "bad_predicate")
-        .when(m.rlike('"@'), "bad_language")
-        .otherwise("bad_object")
-    )
+
+    def shape(cut: Column) -> Column:
+        return _struct(cut=cut, body=F.regexp_replace(cut, "[ \\t]*\\.[ \\t]*(?:#.*)?$", ""))
+
+    def by_number(y: Column) -> Column:
+        n = F.size(words(y["body"]))
+        return F.when((n == 3) & (y["cut"] == y["body"]), "missing_stop").when(n < 3, "too_few_terms").when(n > 3, "too_many_terms")
+
+    def by_quoting(b: Column) -> Column:
+        return (
+            F.when(x["raw"].isNull(), "missing_line").when(F.instr(b, '"') > 0, "unbalanced_quote").when(F.instr(b, "<") > 0, "unclosed_iri")
+            .otherwise(_let(_let(F.regexp_replace(b, "[ \\t\\r]+(?:#.*)?$", ""), shape), by_number))
+        )
+
+    def by_terms(tokens: Column) -> Column:
+        first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
+        return (
+            F.when(F.instr(m, "\\") > 0, "bad_escape").when(~first.rlike(f"^(?:{IRI}|{BNODE})$"), "bad_subject").when(~second.rlike(f"^{IRI}$"), "bad_predicate")
+            .when(m.rlike('"@'), "bad_language").otherwise("bad_object")
+        )
+
+    return F.coalesce(_let(bare, by_quoting), _let(words(m), by_terms))
+
+
+def parsed(raw: Column) -> Column:
+    """A line as (s, p, o, reason): of a statement the terms, of a failure the reason, of anything else nothing."""
+    none = F.lit(None).cast("string")
+
+    def statement(x: Column) -> Column:
+        lead = F.length(F.regexp_extract(x["masked"], f"({PREFIX})", 1))
+        held = F.length(F.regexp_extract(x["masked"], f"{PREFIX}({OBJECT})[ \\t]*\\.", 1))
+
+        def terms(y: Column) -> Column:
+            head = F.split(F.trim(F.regexp_replace(F.substr(x["raw"], F.lit(1), y["lead"]), "[ \\t]+", " ")), " ")
+            return _struct(head=head, o=F.substr(x["raw"], y["lead"] + 1, y["held"]))
+
+        def checked(z: Column) -> Column:
+            o = z["o"]
+            bad_value = _let(_struct(text=T.raw_text(o), dt=T.dt_of(o)), lambda w: F.when(w["dt"].isin([T.XSD + n for n in LEXICAL]), ~_let(T.unescape(w["text"]), lambda t: valid_lexical(t, w["dt"]))))
+            why = F.when(F.coalesce(bad_value, F.lit(False)), "bad_value").when(o.rlike(BAD_LANG), "bad_language")
+            return _let(why, lambda r: F.when(r.isNull(), _struct(s=F.get(z["head"], F.lit(0)), p=F.get(z["head"], F.lit(1)), o=o, reason=none)).otherwise(_struct(s=none, p=none, o=none, reason=r)))
+
+        return _let(_let(_struct(lead=lead, held=held), terms), checked)
+
+    def line(x: Column) -> Column:
+        nothing = F.coalesce(x["raw"].rlike(NOTHING), F.lit(False))
+        return F.when(F.coalesce(x["masked"].rlike(STATEMENT), F.lit(False)), statement(x)).otherwise(_struct(s=none, p=none, o=none, reason=F.when(~nothing, _reason(x))))
+
+    return _let(_struct(raw=raw, masked=_masked(raw)), line)
 
 
 def read_permissive(lines: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -119,34 +162,19 @@ def read_permissive(lines: DataFrame, text: str, keep: list[str]) -> DataFrame:
     and `text` are dropped, so that names such as s or reason in it cannot clash. One narrow stage, no shuffle.
     """
     df = lines.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).alias("raw"))
-    df = df.withColumn("masked", _masked(F.col("raw")))
-    df = df.withColumn("stated", F.coalesce(F.col("masked").rlike(STATEMENT), F.lit(False)))
-    df = df.withColumn("lead", F.when(F.col("stated"), F.length(F.regexp_extract("masked", f"({PREFIX})", 1))))
-    df = df.withColumn("held", F.when(F.col("stated"), F.length(F.regexp_extract("masked", f"{PREFIX}({OBJECT})[ \\t]*\\.", 1))))
-    head = F.split(F.trim(F.regexp_replace(F.substr("raw", F.lit(1), F.col("lead")), "[ \\t]+", " ")), " ")
-    df = df.withColumns({"s": F.get(head, F.lit(0)), "p": F.get(head, F.lit(1)), "o": F.substr("raw", F.col("lead") + 1, F.col("held"))})
-    bad_value = F.col("stated") & ~valid_lexical(T.unescape(T.raw_text("o")), T.dt_of("o"))
-    bad_lang = F.col("stated") & F.col("o").rlike(BAD_LANG)
-    nothing = F.coalesce(F.col("raw").rlike(NOTHING), F.lit(False))
-    df = df.withColumn(
-        "reason",
-        F.when(F.coalesce(bad_value, F.lit(False)), "bad_value")
-        .when(F.coalesce(bad_lang, F.lit(False)), "bad_language")
-        .when(~F.col("stated") & ~nothing, _reason("raw", "masked")),
-    )
-    good = F.col("reason").isNull()
+    df = df.withColumn("x", parsed(F.col("raw")))
     return df.select(
         *[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)],
-        *[F.when(good, F.col(c)).alias(c) for c in ("s", "p", "o")],
-        F.when(~good, F.coalesce("raw", F.lit(""))).alias("corrupt"),
-        "reason",
+        *[F.col(f"x.{c}").alias(c) for c in ("s", "p", "o")],
+        F.when(F.col("x.reason").isNotNull(), F.coalesce("raw", F.lit(""))).alias("corrupt"),
+        F.col("x.reason").alias("reason"),
     )
 
 
 def _held(condition: Column) -> Column:
-    """The condition, kept above the steps of the reading: an optimizer that pushes it down puts all of their expressions,
-    many times over, into one. It is marked as not repeatable for that, and always what it says."""
-    return F.when(F.rand(0) >= 0, condition)
+    """The condition, kept above the reading, which would else be done for it and again for the result; by way of that it is
+    marked as not repeatable, though it always says the same."""
+    return condition | (F.rand(0) < 0)
 
 
 def statements(read: DataFrame) -> DataFrame:
