@@ -142,3 +142,14 @@ def test_hooks_and_tree_walks(store, planner):
     few = P.Config(access_plans=lambda pl, t: pl.local_access_plans(t)[:1], join_plans=lambda pl, a, b, outer: [P.Join("hash", a[0], b[0])])
     assert P.Planner(store, few).optimize(BGP((T1, T2))).text(few).startswith("hash-join(")
     assert engine.create_view("sets", f"{{ ?x a <{RS}ResultSet> }}").sparkSession.sql("SELECT * FROM sets").count() == 2
+
+
+def test_many_patterns_are_planned_without_the_exact_search(spark):
+    store = TripleStore.from_triples(spark, parse_turtle(" ".join(f"<a{i}> <p{i}> <a{i + 1}> ." for i in range(14))))
+    bgp = BGP(tuple(Triple(var(f"v{i}"), iri(f"p{i}"), var(f"v{i + 1}")) for i in range(14)))
+    planner = P.Planner(store)
+    assert sorted(t.p.value for t in planner.order(bgp)) == sorted(f"p{i}" for i in range(14))
+    text = planner.optimize(bgp).text(planner.config)
+    assert text.count("-join(") == 13 and "p13" in text
+    engine = Engine(store).add_source("A", store)
+    assert engine.federated(bgp).text(engine.config.planner).count("[A]") >= 1

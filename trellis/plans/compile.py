@@ -129,7 +129,8 @@ class Compiler:
             # within a match a loosely shared variable has whichever value is bound
             env = {**cols, **{v: self._either(left.cols[v], right.cols[v], same[v]) for v in loose}}
             match = F.coalesce(ExprCompiler(env, self.functions, self.value_equality).condition(extra), F.lit(False))
-        right_df = right.df.hint(HINTS[hint]) if hint else right.df
+        # a broadcast is asked for only of a side that was counted
+        right_df = right.df if not hint else broadcast_if_small(right.df) if hint == "broadcast" else right.df.hint(HINTS[hint])
         if not loose:
             df = _joined(left.df, right_df, keys + ([match] if match is not None else []), how)
         else:
