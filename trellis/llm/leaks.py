@@ -11,6 +11,7 @@ distance over words.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -83,6 +84,7 @@ class LeakFinder:
             starts.append(starts[-1] + len(x) + 1)
         best: dict[int, int] = {}
         tried: set[tuple[int, int, int]] = set()
+        known: dict[tuple[str, int], int] = {}  # items that share a passage share its distance
         for end, (size, places) in self.machine.iter(flat):
             b = bisect_left(starts, end - size + 1)
             for item, a in places:
@@ -96,12 +98,27 @@ class LeakFinder:
                     tried.add(key)
                     lo = b - (a - i) - self.edits
                     region = w[max(0, lo) : b - (a - i) + self.window + self.edits]
-                    d = myers_best(words_of[i : i + self.window], region)
+                    own = words_of[i : i + self.window]
+                    same = (" ".join(own), lo)
+                    d = known.get(same)
+                    if d is None:
+                        d = known[same] = myers_best(own, region)
                     if d <= self.edits:
                         best[item] = min(d, best.get(item, d))
         return best
 
 
+#: The finder of the block that this process worked on last, so that a process builds it once and not for every task.
+_last: dict[str, LeakFinder] = {}
+
+
+def _finder(token: str, items: list[tuple[int, str | None]], window: int, edits: int) -> LeakFinder:
+    if token not in _last:
+        _last.clear()
+        _last[token] = LeakFinder(items, window, edits)
+    return _last[token]
+
+
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int, edits: int = 0) -> DataFrame:
     """(doc_id, item_id, edits): every document with a leaked window of an item, one row per pair.
 
@@ -118,8 +135,8 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         block = [(r.i, r.t) for r in held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = LeakFinder(shared.value, window, edits)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            finder = _finder(token, shared.value, window, edits)
             for b in batches:
                 docs, found, least = [], [], []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -245,6 +245,25 @@ _WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"  # n
 _WINDOWS = lambda t, i: f"""(SELECT DISTINCT {i}, array_to_string(w[k : k + {LEAK_WORDS - 1}], ' ') AS g
   FROM (SELECT {i}, w, unnest(range(1, len(w) - {LEAK_WORDS - 2})) AS k FROM (SELECT {i}, {_WORDS('text')} AS w FROM {t})))"""
 
+_LISTS = lambda t, i: f"(SELECT {i}, {_WORDS('text')} AS w FROM {t})"
+_GRAMS = lambda t, i, n: f"(SELECT {i}, w[k : k + {n - 1}] AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - {n - 2})) AS k FROM {_LISTS(t, i)}))"
+_MASKED = lambda g, j: f"array_to_string(list_concat({g}[: {j} - 1], ['*'], {g}[{j} + 1 :]), ' ')"
+_N = EDITED_WORDS
+# one word of fifteen changed, dropped or put in between, or none
+_EDITED = f"""
+  WITH win AS (SELECT DISTINCT item_id, g FROM {_GRAMS('eval_items', 'item_id', _N)}),
+  marks AS (
+    SELECT item_id, 0 AS kind, 0 AS j, array_to_string(g, ' ') AS t FROM win
+    UNION SELECT item_id, 1, 0, array_to_string(list_concat(g[: j - 1], g[j + 1 :]), ' ') FROM win, unnest(range(1, {_N + 1})) u(j)
+    UNION SELECT item_id, 2, j, {_MASKED('g', 'j')} FROM win, unnest(range(1, {_N + 1})) u(j)
+    UNION SELECT item_id, 3, j + 1, array_to_string(list_concat(g[: j], ['*'], g[j + 1 :]), ' ') FROM win, unnest(range(1, {_N})) u(j)),
+  seen AS (
+    SELECT doc_id, 0 AS kind, 0 AS j, array_to_string(g, ' ') AS t FROM {_GRAMS('documents', 'doc_id', _N)}
+    UNION SELECT doc_id, 1, 0, array_to_string(g, ' ') FROM {_GRAMS('documents', 'doc_id', _N - 1)}
+    UNION SELECT doc_id, 2, j, {_MASKED('g', 'j')} FROM {_GRAMS('documents', 'doc_id', _N)}, unnest(range(1, {_N + 1})) u(j)
+    UNION SELECT doc_id, 3, j, {_MASKED('g', 'j')} FROM {_GRAMS('documents', 'doc_id', _N + 1)}, unnest(range(2, {_N + 1})) u(j))
+  SELECT doc_id, item_id, CAST(min(CASE WHEN kind = 0 THEN 0 ELSE 1 END) AS INTEGER) AS edits FROM marks JOIN seen USING (kind, j, t) GROUP BY doc_id, item_id"""
+
 SQL = {
     "p4_checked": """
       SELECT CASE WHEN concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(graph) = 0 THEN 'graph' END, CASE WHEN grouping(predicate) = 0 THEN 'predicate' END) = '' THEN 'all'
@@ -255,6 +274,7 @@ SQL = {
     "p4_merged": "SELECT g AS graph, count(DISTINCT s) AS n, true AS inside FROM quads GROUP BY g",
     "p10_counts": f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS('text')}) AS n_words,
       len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""",
+    "p8_edited_leaks": _EDITED,
     "p10_layouts": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'CAST(NULL AS BOOLEAN)' if v is None else str(v).lower()})" for n, _, v in LAYOUTS) + ") t(name, is_prose)",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_WINDOWS('documents', 'doc_id')} d JOIN {_WINDOWS('eval_items', 'item_id')} e ON d.g = e.g",
     # sizes in characters: for these tables every usual unit puts the same sources beyond their caps
