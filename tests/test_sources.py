@@ -188,3 +188,18 @@ def test_layouts_and_statistics_that_are_stored(spark, rows, tmp_path):
     TripleStore.from_rows(plain.df, orderings=["ops"]).write(str(tmp_path / "one"), statistics=False)
     one = TripleStore.read(spark, str(tmp_path / "one"))
     assert list(one.layouts) == ["OPS"] and one.counts(patterns) == plain.counts(patterns)
+
+
+def test_dictionary_joins_spread_hot_terms(spark, rows, monkeypatch):
+    """A dictionary that is not broadcast gives the same ids, with a term that holds most rows."""
+    data = [("<hub>" if i % 3 else f"<s{i}>", "<p>", None if i % 50 == 0 else f'"{i % 90}"', i) for i in range(900)]
+    df = spark.createDataFrame(data, "s string, p string, o string, note int")
+    terms = D.build_dictionary(df, ["s", "p", "o"])
+    extra = df.unionByName(spark.createDataFrame([("<unknown>", "<p>", '"1"', -1)], df.schema))
+    small = D.encode_columns(extra, ["s", "p", "o"], terms)
+    seen, decoded = rows(D.lookup(extra, "s", terms)), rows(D.decode_columns(small, ["s", "p", "o"], terms))
+    monkeypatch.setattr(D, "broadcast_if_small", lambda df, rows=0: df)
+    big = D.encode_columns(extra, ["s", "p", "o"], terms)
+    assert rows(big) == rows(small) and big.count() == sum(r[2] is not None for r in data) and big.columns == df.columns
+    assert rows(D.lookup(extra, "s", terms)) == seen and rows(D.decode_columns(big, ["s", "p", "o"], terms)) == decoded
+    assert {r.s for r in D.decode_columns(big.select(F.lit(10**9).alias("s")), ["s"], terms).collect()} == {None}

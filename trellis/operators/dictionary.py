@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import terms as T
-from trellis.session import broadcast_if_small, cut_lineage
+from trellis.operators.keyed import heavy_keys, keyed_counts
+from trellis.session import broadcast_if_small, cut_lineage, parallelism
 
 #: Bits of a global id below the rank that owns it.
 RANK_SHIFT = 48
@@ -61,28 +62,48 @@ def remove_terms(terms: DataFrame, gone: DataFrame) -> DataFrame:
     return terms.join(gone.select("nt"), "nt", "left_anti")
 
 
+def _with_pairs(df: DataFrame, column: str, pairs: DataFrame, out: str) -> DataFrame:
+    """Left join of a column with a dictionary (key, value), whose value is added as `out`.
+
+    A small dictionary is broadcast. With a greater one, keys that hold a larger share of the rows than a task's are counted
+    first, with a map-side combine, and met by a broadcast of their few pairs; their rows are spread by a hash of the row
+    instead of the key, so that no task gets all rows of a key.
+    """
+    held = broadcast_if_small(pairs)
+    if held is not pairs:
+        return df.join(held.toDF("__k", out), F.col(column) == F.col("__k"), "left").drop("__k")
+    share = 1 / (4 * parallelism(df.sparkSession))
+    heavy = heavy_keys(keyed_counts(df.where(F.col(column).isNotNull()), column), column, share).select(F.col(column).alias("__hk"))
+    known = pairs.toDF("__hk", "__hv").join(F.broadcast(heavy), "__hk")  # at most 1 / share rows
+    first = df.join(F.broadcast(known), F.col(column) == F.col("__hk"), "left")
+    # a key that no term can have, one of many
+    aside = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+    key = F.when(F.col("__hk").isNull() & F.col(column).isNotNull(), F.col(column).cast("string")).otherwise(aside)
+    rest = pairs.select(F.col(pairs.columns[0]).cast("string").alias("__k"), F.col(pairs.columns[1]).alias("__v"))
+    joined = first.withColumn("__key", key).join(rest, F.col("__key") == F.col("__k"), "left")
+    return joined.select(*df.columns, F.coalesce("__hv", "__v").alias(out))
+
+
 def encode_columns(df: DataFrame, columns: Sequence[str], terms: DataFrame) -> DataFrame:
     """Replace terms by ids; rows with a term that the dictionary lacks drop out (they can match nothing)."""
-    pairs = broadcast_if_small(terms.select("id", "nt"))
+    order = df.columns
     for c in columns:
-        df = df.join(pairs.select(F.col("id").alias(f"__id_{c}"), F.col("nt").alias(c)), c).drop(c).withColumnRenamed(f"__id_{c}", c)
-    return df
+        df = _with_pairs(df, c, terms.select("nt", "id"), f"__id_{c}").where(F.col(f"__id_{c}").isNotNull()).drop(c).withColumnRenamed(f"__id_{c}", c)
+    return df.select(*order)
 
 
 def decode_columns(df: DataFrame, columns: Sequence[str], terms: DataFrame) -> DataFrame:
     """Replace ids by terms; NULL stays NULL, an id without a term becomes NULL."""
     order = df.columns
-    pairs = broadcast_if_small(terms.select("id", "nt"))
     for c in columns:
-        df = df.join(pairs.select(F.col("id").alias(c), F.col("nt").alias(f"__nt_{c}")), c, "left").drop(c).withColumnRenamed(f"__nt_{c}", c)
+        df = _with_pairs(df, c, terms.select("id", "nt"), f"__nt_{c}").drop(c).withColumnRenamed(f"__nt_{c}", c)
     return df.select(*order)
 
 
 def lookup(requests: DataFrame, column: str, terms: DataFrame, by: str = "nt") -> DataFrame:
     """Add the other side of the dictionary to a column of terms (by nt) or ids (by id); NULL where it is unknown."""
     other = "id" if by == "nt" else "nt"
-    pairs = terms.select(F.col(by).alias(column), F.col(other).alias(f"{column}_{other}"))
-    return requests.join(broadcast_if_small(pairs), column, "left")
+    return _with_pairs(requests, column, terms.select(by, other), f"{column}_{other}")
 
 
 def global_id(ident: Column, ranks: int) -> Column:
