@@ -136,7 +136,7 @@ def test_construct_bindings_functions_services(open_store, rows, spark):
 def test_plan_of_a_statement_star_pushes_its_constants(open_store):
     df = Engine(open_store(JOIN, "files")).sparql("{ ?x <p1> ?y }")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(predicate" in plan and "ReadSchema: struct<s:string,p:string,o:string>" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(p,<p1>)" in plan and "ReadSchema: struct<s:string,p:string,o:string>" in plan
 
 
 def test_split_joins_equal_the_plain_condition(spark, rows, monkeypatch):

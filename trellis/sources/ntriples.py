@@ -28,7 +28,8 @@ LANG = "@[A-Za-z]+[A-Za-z0-9\\-]*"
 LITERAL = f'"[^"\\\\\\n\\r]*"(?:{LANG}|\\^\\^{IRI})?'
 PREFIX = f"^[ \\t]*(?:{IRI}|{BNODE})[ \\t]+{IRI}[ \\t]+"
 OBJECT = f"(?:{IRI}|{BNODE}|{LITERAL})"
-STATEMENT = f"{PREFIX}{OBJECT}[ \\t]*\\.[ \\t]*(?:#[^\\n\\r]*)?\\r?$"
+#: A whole line: what comes before the object, the object, the rest.
+STATEMENT = f"({PREFIX})({OBJECT})[ \\t]*\\.[ \\t]*(?:#[^\\n\\r]*)?\\r?$"
 NOTHING = "^[ \\t]*(?:#[^\\n\\r]*)?\\r?$"
 BAD_LANG = '"@(?:[A-Za-z]+[0-9][A-Za-z0-9]*|[A-Za-z0-9\\-]*--[A-Za-z0-9\\-]*|[A-Za-z0-9\\-]*-)$'
 
@@ -65,9 +66,9 @@ REASONS = {
 
 def _masked(line: Column) -> Column:
     """The line with each escape overwritten by as many characters."""
-    line = F.regexp_replace(line, ECHAR, "\u0001\u0001")
-    line = F.regexp_replace(line, UCHAR4, "uuuuuu")
-    return F.regexp_replace(line, UCHAR8, "uuuuuuuuuu")
+    masked = F.regexp_replace(line, ECHAR, "\u0001\u0001")
+    masked = F.regexp_replace(masked, UCHAR4, "uuuuuu")
+    return F.when(F.instr(line, "\\") == 0, line).otherwise(F.regexp_replace(masked, UCHAR8, "uuuuuuuuuu"))
 
 
 def date_exists(text: Column) -> Column:
@@ -131,9 +132,8 @@ def parsed(raw: Column) -> Column:
     """A line as (s, p, o, reason): of a statement the terms, of a failure the reason, of anything else nothing."""
     none = F.lit(None).cast("string")
 
-    def statement(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["masked"], f"({PREFIX})", 1))
-        held = F.length(F.regexp_extract(x["masked"], f"{PREFIX}({OBJECT})[ \\t]*\\.", 1))
+    def statement(x: Column, lead: Column) -> Column:
+        held = F.length(F.regexp_extract(x["masked"], STATEMENT, 2))
 
         def terms(y: Column) -> Column:
             head = F.split(F.trim(F.regexp_replace(F.substr(x["raw"], F.lit(1), y["lead"]), "[ \\t]+", " ")), " ")
@@ -148,8 +148,11 @@ def parsed(raw: Column) -> Column:
         return _let(_let(_struct(lead=lead, held=held), terms), checked)
 
     def line(x: Column) -> Column:
+        return _let(F.length(F.regexp_extract(x["masked"], STATEMENT, 1)), lambda lead: by_shape(x, lead))
+
+    def by_shape(x: Column, lead: Column) -> Column:
         nothing = F.coalesce(x["raw"].rlike(NOTHING), F.lit(False))
-        return F.when(F.coalesce(x["masked"].rlike(STATEMENT), F.lit(False)), statement(x)).otherwise(_struct(s=none, p=none, o=none, reason=F.when(~nothing, _reason(x))))
+        return F.when(F.coalesce(lead > 0, F.lit(False)), statement(x, lead)).otherwise(_struct(s=none, p=none, o=none, reason=F.when(~nothing, _reason(x))))
 
     return _let(_struct(raw=raw, masked=_masked(raw)), line)
 
