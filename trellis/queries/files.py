@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +144,8 @@ def command_line(spark, d):
     """Load, then a query out of a file, from the command line's verbs."""
     folder = shared_folder(spark, "cli")
     ntriples.write_ntriples(table(spark, d, "triples").select("s", "p", "o"), f"{folder}/nt")
-    cli.main(["load", f"{folder}/store", f"{folder}/nt", "--syntax", "ntriples"], spark)
+    with contextlib.redirect_stdout(io.StringIO()):
+        cli.main(["load", f"{folder}/store", f"{folder}/nt", "--syntax", "ntriples"], spark)
     cli.main(["query", f"{folder}/store", f"{{ ?x <{SCHEMA}note> ?y }}", "--out", f"{folder}/rows"], spark)
     return spark.read.option("lineSep", "\n").text(f"{folder}/rows")
 
