@@ -37,14 +37,16 @@ def _distinct(quads: DataFrame) -> DataFrame:
 
 
 def p4_checked(spark: SparkSession, d: str) -> DataFrame:
-    """The exact number of subjects of every group, and whether the estimate lies within six standard errors and two of it."""
-    quads = table(spark, d, "quads")
-    est = _distinct(quads).where("counted = 'subjects'")
-    rows = quads.where("s IS NOT NULL AND p IS NOT NULL").select(F.to_date("asserted_at").alias("day"), F.col("g").alias("graph"), F.col("p").alias("predicate"), "s").distinct()
-    sets = [[F.col(k) for k in s] for s in _sets("day", "graph", "predicate")]
-    by = F.concat_ws(",", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in ("day", "graph", "predicate")])
-    exact = rows.groupingSets(sets, "day", "graph", "predicate").agg(F.count_distinct("s").alias("n"), by.alias("by"))
-    exact = exact.select(F.when(F.col("by") == "", "all").otherwise(F.col("by")).alias("by"), "day", "graph", "predicate", "n")
+    """The exact number of subjects of all, of every day, graph, predicate and graph with predicate, and whether the estimate
+    lies within six standard errors and two of it."""
+    quads = table(spark, d, "quads").where("s IS NOT NULL AND p IS NOT NULL").select(F.to_date("asserted_at").alias("day"), F.col("g").alias("graph"), F.col("p").alias("predicate"), "s")
+    by = F.concat_ws(",", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in ("graph", "predicate")])
+    sets = [[F.col(k) for k in s] for s in _sets("graph", "predicate")]
+    exact = quads.select("graph", "predicate", "s").distinct().groupingSets(sets, "graph", "predicate").agg(F.count_distinct("s").alias("n"), by.alias("by"))
+    exact = exact.select(F.when(F.col("by") == "", "all").otherwise(F.col("by")).alias("by"), F.lit(None).cast("date").alias("day"), "graph", "predicate", "n")
+    days = quads.select("day", "s").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    exact = exact.unionByName(days.select(F.lit("day").alias("by"), "day", F.lit(None).cast("string").alias("graph"), F.lit(None).cast("string").alias("predicate"), "n"))
+    est = _distinct(table(spark, d, "quads")).where("counted = 'subjects'")
     on = [F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("by", "day", "graph", "predicate")]
     inside = F.abs(F.col("n_distinct") - F.col("n")) <= 6 * F.col("std_error") + 2
     return exact.alias("x").join(est.alias("e"), on, "left").select("x.by", "x.day", "x.graph", "x.predicate", "n", F.coalesce(inside, F.lit(False)).alias("inside"))
@@ -266,11 +268,12 @@ _EDITED = f"""
 
 SQL = {
     "p4_checked": """
-      SELECT CASE WHEN concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(graph) = 0 THEN 'graph' END, CASE WHEN grouping(predicate) = 0 THEN 'predicate' END) = '' THEN 'all'
-          ELSE concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(graph) = 0 THEN 'graph' END, CASE WHEN grouping(predicate) = 0 THEN 'predicate' END) END AS by,
-        day, graph, predicate, count(DISTINCT s) AS n, true AS inside
-      FROM (SELECT CAST(asserted_at AS DATE) AS day, g AS graph, p AS predicate, s FROM quads WHERE s IS NOT NULL AND p IS NOT NULL)
-      GROUP BY GROUPING SETS ((), (day), (graph), (predicate), (day, graph), (day, predicate), (graph, predicate), (day, graph, predicate))""",
+      WITH q AS (SELECT CAST(asserted_at AS DATE) AS day, g AS graph, p AS predicate, s FROM quads WHERE s IS NOT NULL AND p IS NOT NULL)
+      SELECT 'all' AS by, CAST(NULL AS DATE) AS day, CAST(NULL AS VARCHAR) AS graph, CAST(NULL AS VARCHAR) AS predicate, count(DISTINCT s) AS n, true AS inside FROM q
+      UNION ALL SELECT 'day', day, NULL, NULL, count(DISTINCT s), true FROM q GROUP BY day
+      UNION ALL SELECT 'graph', NULL, graph, NULL, count(DISTINCT s), true FROM q GROUP BY graph
+      UNION ALL SELECT 'predicate', NULL, NULL, predicate, count(DISTINCT s), true FROM q GROUP BY predicate
+      UNION ALL SELECT 'graph,predicate', NULL, graph, predicate, count(DISTINCT s), true FROM q GROUP BY graph, predicate""",
     "p4_merged": "SELECT g AS graph, count(DISTINCT s) AS n, true AS inside FROM quads GROUP BY g",
     "p10_counts": f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS('text')}) AS n_words,
       len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""",
