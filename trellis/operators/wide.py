@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from trellis.session import BROADCAST_ROWS, cut_lineage
 
 #: Spark type of each range.
 TYPES = {"integer": "bigint", "decimal": "decimal(38,10)", "date": "date", "datetime": "timestamp_ntz", "boolean": "boolean"}
+#: Greatest size of a bigint that has a negative, too.
+MOST_INTEGER = Decimal((1 << 63) - 1)
 #: Columns of one group of a wide table that is made in groups.
 GROUP_COLUMNS = 1000
 
@@ -86,8 +89,10 @@ def _typed(value: Column, range_dt: str) -> Column:
     """The inverse, as the column's type; NULL where the value lies beyond it."""
     if range_dt == "boolean":
         return value == 1
-    if range_dt in ("integer", "decimal"):
-        return value.try_cast(TYPES[range_dt])
+    if range_dt == "integer":
+        return F.when(F.abs(value) <= F.lit(MOST_INTEGER), value.try_cast("bigint"))
+    if range_dt == "decimal":
+        return value
     digits = F.lpad(value.cast("decimal(28,0)").cast("string"), 8 if range_dt == "date" else 14, "0")
     form = ("(....)(..)(..)", "$1-$2-$3") if range_dt == "date" else ("(....)(..)(..)(..)(..)(..)", "$1-$2-$3T$4:$5:$6")
     return F.regexp_replace(digits, *form).try_cast(TYPES[range_dt])
@@ -131,7 +136,9 @@ def project_cells(maps: DataFrame, attrs: list[Attribute]) -> DataFrame:
     for a in attrs:
         cell = F.try_element_at("cells", F.lit(a.code))
         typed = _typed(cell["value"], a.range_dt)
-        why = F.coalesce(cell["why"], F.when(cell["value"].isNotNull() & typed.isNull(), "out_of_range"))
+        why = cell["why"]
+        if a.range_dt == "integer":  # of the other ranges a value that the fold holds fits the column
+            why = F.coalesce(why, F.when(F.abs(cell["value"]) > F.lit(MOST_INTEGER), "out_of_range"))
         cols.append(typed.alias(a.column))
         fails.append(F.struct(F.lit(a.predicate).alias("k"), why.alias("v")))
     empty = F.expr("CAST(map() AS map<string,string>)")
